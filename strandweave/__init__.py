@@ -1,0 +1 @@
+"""strandweave: consensus-assembly analytics on Spark DataFrames."""

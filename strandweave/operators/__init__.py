@@ -1,0 +1 @@
+"""Operators on sequences, k-mers, unitig graphs, clusters and reads."""
