@@ -6,15 +6,17 @@
    over 0.4 of their sketches, so they share a value among the rarest 0.6 of each sketch (plus
    one), the prefix that is listed. Rare values first means that a passage which thousands of
    documents quote is listed only for documents made up of such passages.
-3. Within a list no task sees all pairs. A list is compared with its most central member first;
-   then, in rounds that grow eightfold, with its next members, but only across the components
-   found so far, until every list lies in one component or has been compared in full.
+3. Within a list no task sees all pairs. Every list is compared with its most central member
+   first, which joins most groups of copies. Then only members of different components are
+   compared: short lists pair by pair, long lists in rounds with their next 7, 56, 448, ...
+   members, until every list lies in one component or has been compared in full. A round of long
+   lists makes one row per member, holding the ids it is to be compared with.
 4. Each pair met must pass the sizes, then the union sketch's estimate, then the exact index on
    full sets. Links feed connected components by alternating large and small stars.
 
-What can be missed is a pair whose sketches share under 0.4 (candidates) or 0.47 (estimate) of
-64 values at a true index of 0.75: 6.5 and 5.2 standard deviations. Sets of up to 64 shingles are
-their own sketches and are never missed.
+What can be missed is a pair whose sketches share under 0.5 (candidates) or 0.53 (estimate) of
+64 values at a true index of 0.75, that is, 4.6 and 4.0 standard deviations below the mean for a
+pair right at the limit. Sets of up to 64 shingles are their own sketches and never missed.
 """
 
 from __future__ import annotations
@@ -33,11 +35,15 @@ K = 64
 #: Similarity in percent.
 PERCENT = 75
 #: Share of a sketch that two linked documents have in common at least.
-COMMON = 0.4
+COMMON = 0.5
 #: Share of the union's sketch below which a pair is not verified.
-ESTIMATE = 0.47
-#: Rounds compare a list with members 1, 2..8, 9..64, ... in the order of centrality.
+ESTIMATE = 0.53
+#: Members up to which a list is compared pair by pair after its first round.
+SHORT = 32
+#: Rounds compare a long list with members 2..8, 9..64, ... in the order of centrality.
 GROWTH = 8
+#: Shingles of compared-with members that may be broadcast (8 bytes each); beyond, pair by pair.
+BROADCAST_SHINGLES = 3_000_000
 #: Rows of ids (a few dozen bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -81,7 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         n, keys, parts = [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py(), cache)
-            if len(cache) > 500_000:
+            if len(cache) > 100_000:
                 cache.clear()
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -138,31 +144,52 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _round_pairs(postings: DataFrame, labels: DataFrame | None, first: int, last: int) -> DataFrame:
-    """Distinct pairs (u < v) of list members ``first``..``last`` with all later members of other
-    components, sizes permitting."""
+def _live(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with ``comp``, of lists that lie in several components only; ``m`` members."""
     if labels is None:
         live = postings.withColumn("comp", F.col("cid"))
     else:
         live = postings.join(labels.withColumnRenamed("a", "cid"), "cid", "left").withColumn("comp", F.coalesce("b", "cid")).drop("b")
-    rank = F.struct("central", "cid")
-    if first == 1:
-        heads = live.groupBy("v").agg(
-            F.max(F.struct("central", "cid", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        )
-        heads = heads.where("low <> high").select("v", "p.*")
-    else:
-        open_ = live.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-        open_ = open_.where((F.col("low") != F.col("high")) & (F.col("m") > first)).select("v")
-        live = live.join(open_, "v")
-        order = Window.partitionBy("v").orderBy(F.desc("central"), F.desc("cid"))
-        heads = live.withColumn("r", F.row_number().over(order)).where(F.col("r").between(first, last)).drop("r")
+    lists = live.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
+    return live.join(lists.where("low <> high").select("v", "m"), "v")
+
+
+def _fits(n, p_n):
+    return F.least(n, p_n) * 100 >= F.greatest(n, p_n) * PERCENT
+
+
+def _pairs_with(live: DataFrame, heads: DataFrame) -> DataFrame:
+    """Distinct pairs (u < v) of the heads of each list with its less central members of other
+    components, sizes permitting."""
     p = heads.select("v", *(F.col(c).alias(f"p_{c}") for c in ("central", "cid", "n", "comp")))
-    sizes = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * PERCENT
-    met = live.join(p, "v").where((F.struct("p_central", "p_cid") > rank) & (F.col("comp") != F.col("p_comp")) & sizes)
+    later = F.struct("p_central", "p_cid") > F.struct("central", "cid")
+    met = live.join(p, "v").where(later & (F.col("comp") != F.col("p_comp")) & _fits(F.col("n"), F.col("p_n")))
     return met.select(F.least("cid", "p_cid").alias("u"), F.greatest("cid", "p_cid").alias("v")).distinct()
 
 
+def _first_pairs(live: DataFrame) -> DataFrame:
+    """Every list with its most central member."""
+    heads = live.groupBy("v").agg(F.max(F.struct("central", "cid", "n", "comp")).alias("p")).select("v", "p.*")
+    return _pairs_with(live, heads)
+
+
+def _long_round(live: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """For long lists, (cid, ps): classes that ``cid`` is to be compared with, out of members
+    ``first``..``last`` of its lists; and the ids of all these members."""
+    rows = live.where(F.col("m") > max(SHORT, first))
+    order = Window.partitionBy("v").orderBy(F.desc("central"), F.desc("cid"))
+    heads = rows.withColumn("r", F.row_number().over(order)).where(F.col("r").between(first, last))
+    heads = written(heads.select("v", "central", "cid", "n", "comp"))
+    held = heads.groupBy("v").agg(F.collect_list(F.struct("central", "cid", "n", "comp")).alias("p"))
+    mine = F.filter(
+        "p",
+        lambda x: (F.struct(x.central, x.cid) > F.struct("central", "cid")) & (x.comp != F.col("comp")) & _fits(F.col("n"), x.n),
+    )
+    met = rows.join(held, "v").select("cid", F.transform(mine, lambda x: x.cid).alias("ps")).where(F.size("ps") > 0)
+    todo = met.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"))
+    return todo, heads.select("cid").distinct()
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that the union's sketch lets pass; exact where the union fits into the sketch."""
     own = classes.select("cid", "n", "sketch")
@@ -178,9 +205,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(passed).select("u", "v")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
-    ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, text of the classes in ``ids``, from one scan of the documents."""
     need = ids.join(classes.select("cid", F.col("rep").alias("doc_id"), "set_key"), "cid")
     if need.count() <= BROADCAST_ROWS:
         need = F.broadcast(need)
@@ -194,8 +225,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         return out
 
     wanted = docs.select("doc_id", "text").join(need, "doc_id")
-    texts = map_arrow(wanted, own, "cid bigint, text string").dropDuplicates(["cid"])
-    texts = written(texts)
+    return map_arrow(wanted, own, "cid bigint, text string").dropDuplicates(["cid"])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= 75 * union."""
+    ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
+    texts = written(_texts(ids, classes, docs))
     rows = pairs.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("tu")), "u")
     rows = rows.join(texts.select(F.col("cid").alias("v"), F.col("text").alias("tv")), "v")
 
@@ -209,9 +245,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                     if len(sets) > 200:
                         sets = {k: sets[k] for k in (u, v) if k in sets}
                     sets[c] = shingle_set(t.as_py())
-            a, b = sets[u], sets[v]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+            if _linked(sets[u], sets[v]):
                 out["u"].append(u)
                 out["v"].append(v)
         return out
@@ -219,24 +253,100 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return map_arrow(rows, check, "u bigint, v bigint")
 
 
+def _passing(own: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The union-sketch estimate of one sketch against many (rows padded with the largest
+    int64), as in :func:`_estimated`."""
+    pad = np.iinfo(np.int64).max
+    mine = np.full(K, pad, np.int64)
+    mine[: len(own)] = own
+    both = np.sort(np.concatenate([rows, np.broadcast_to(mine, rows.shape)], axis=1), axis=1)
+    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != pad)
+    rank = 1 + np.cumsum(np.concatenate([np.zeros((len(rows), 1), bool), both[:, 1:] != both[:, :-1]], axis=1), axis=1)
+    m = np.minimum(K, np.max(np.where(both != pad, rank, 0), axis=1))
+    common = (twice & (rank[:, 1:] <= K)).sum(axis=1)
+    exact = (n <= K) & (sizes <= K) & (m < K)
+    return np.where(exact, common * 100 >= m * PERCENT, common >= m * ESTIMATE)
+
+
+def _long_links(todo: DataFrame, heads: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of (cid, ps) rows. The sets of all ``heads`` are broadcast if they are small, so that
+    each member's sketch, and then its text, moves once whatever it is compared with; otherwise
+    the rows become pairs."""
+    spark = docs.sparkSession
+    wanted = classes.join(heads, "cid")
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    if total > BROADCAST_SHINGLES:
+        pairs = todo.select("cid", F.explode("ps").alias("p")).select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
+        return _verified(written(_estimated(pairs, classes)), classes, docs)
+    texts = {r["cid"]: shingle_set(r["text"]) for r in _texts(heads, classes, docs).toLocalIterator()}
+    sets = spark.sparkContext.broadcast(texts)
+
+    def estimate(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"cid": [], "ps": []}
+        held = sets.value
+        for cid, n, sketch, ps in zip(*(batch.column(c) for c in ("cid", "n", "sketch", "ps")), strict=True):
+            ids = np.asarray(ps.values)
+            rows = np.full((len(ids), K), np.iinfo(np.int64).max, np.int64)
+            sizes = np.empty(len(ids), np.int64)
+            for i, p in enumerate(ids.tolist()):
+                s = held[p]
+                rows[i, : min(K, len(s))] = s[:K]
+                sizes[i] = len(s)
+            ok = ids[_passing(np.asarray(sketch.values), n.as_py(), rows, sizes)]
+            if len(ok):
+                out["cid"].append(cid.as_py())
+                out["ps"].append(ok.tolist())
+        return out
+
+    passed = map_arrow(todo.join(classes.select("cid", "n", "sketch"), "cid"), estimate, "cid bigint, ps array<bigint>")
+    passed = written(passed)
+    rows = _texts(passed.select("cid"), classes, docs).join(passed, "cid")
+
+    def check(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"u": [], "v": []}
+        held = sets.value
+        for cid, text, ps in zip(*(batch.column(c) for c in ("cid", "text", "ps")), strict=True):
+            cid, a = cid.as_py(), shingle_set(text.as_py())
+            for p in ps.as_py():
+                if _linked(a, held[p]):
+                    out["u"].append(min(cid, p))
+                    out["v"].append(max(cid, p))
+        return out
+
+    return map_arrow(rows, check, "u bigint, v bigint")
+
+
 def class_labels(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(a, b): component of every class that has one of other classes too; None without links."""
     postings = _postings(classes)
-    longest = postings.groupBy("v").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
-    labels, tried, first, last = None, None, 1, 1
-    while first < longest:
-        pairs = _round_pairs(postings, labels, first, last)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs)
-        if not pairs.isEmpty():
-            passed = written(_estimated(pairs, classes))
-            if not passed.isEmpty():
-                links = written(_verified(passed, classes, docs))
-                if not links.isEmpty():
-                    known = links if labels is None else links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v")))
-                    labels = components(known)
-            tried = pairs if tried is None else tried.unionByName(pairs)
+    labels: DataFrame | None = None
+
+    def add(links: DataFrame) -> None:
+        nonlocal labels
+        links = written(links)
+        if not links.isEmpty():
+            known = links if labels is None else links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            labels = components(known)
+
+    def by_pairs(pairs: DataFrame) -> None:
+        passed = written(_estimated(pairs, classes))
+        if not passed.isEmpty():
+            add(_verified(passed, classes, docs))
+
+    tried = written(_first_pairs(_live(postings, None)))
+    by_pairs(tried)
+    live = written(_live(postings, labels))
+    short = live.where(F.col("m") <= SHORT)
+    by_pairs(_pairs_with(short, short).join(tried, ["u", "v"], "left_anti"))
+    longest = live.agg(F.max("m")).first()[0] or 0
+    first, last = 2, GROWTH
+    while longest > max(SHORT, first):
+        live = written(_live(postings, labels))
+        longest = live.agg(F.max("m")).first()[0] or 0
+        todo, heads = _long_round(live, first, last)
+        todo = written(todo)
+        if not todo.isEmpty():
+            add(_long_links(todo, heads, classes, docs))
         first, last = last + 1, last * GROWTH
     return labels
 
