@@ -21,6 +21,8 @@ pair right at the limit. Sets of up to 64 shingles are their own sketches and ne
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -127,8 +129,9 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) for every node ``a`` of the edges (u, v): ``b`` is the least node of its component,
-    the least nodes themselves left out. Large and small stars by turns, each round written."""
-    stars, mark = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), None
+    the least nodes themselves left out. Large and small stars by turns, each round written,
+    until no node is both a centre and a leaf."""
+    stars = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct()
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -138,10 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
         stars = written(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         )
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
+        if stars.join(stars.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() and stars.groupBy("a").count().where("count > 1").isEmpty():
             return stars
-        mark = now
 
 
 def _live(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -278,7 +279,7 @@ def _long_links(todo: DataFrame, heads: DataFrame, classes: DataFrame, docs: Dat
     if total > BROADCAST_SHINGLES:
         pairs = todo.select("cid", F.explode("ps").alias("p")).select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
         return _verified(written(_estimated(pairs, classes)), classes, docs)
-    texts = {r["cid"]: shingle_set(r["text"]) for r in _texts(heads, classes, docs).toLocalIterator()}
+    texts = {r["cid"]: shingle_set(r["text"]) for r in _texts(heads, classes, docs).collect()}
     sets = spark.sparkContext.broadcast(texts)
 
     def estimate(batch: pa.RecordBatch) -> dict:
@@ -328,26 +329,31 @@ def class_labels(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
             known = links if labels is None else links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v")))
             labels = components(known)
 
-    def by_pairs(pairs: DataFrame) -> None:
+    def of(pairs: DataFrame) -> DataFrame | None:
         passed = written(_estimated(pairs, classes))
-        if not passed.isEmpty():
-            add(_verified(passed, classes, docs))
+        return None if passed.isEmpty() else _verified(passed, classes, docs)
 
     tried = written(_first_pairs(_live(postings, None)))
-    by_pairs(tried)
+    if (links := of(tried)) is not None:
+        add(links)
     live = written(_live(postings, labels))
     short = live.where(F.col("m") <= SHORT)
-    by_pairs(_pairs_with(short, short).join(tried, ["u", "v"], "left_anti"))
+    found = [of(_pairs_with(short, short).join(tried, ["u", "v"], "left_anti"))]
     longest = live.agg(F.max("m")).first()[0] or 0
     first, last = 2, GROWTH
-    while longest > max(SHORT, first):
-        live = written(_live(postings, labels))
-        longest = live.agg(F.max("m")).first()[0] or 0
-        todo, heads = _long_round(live, first, last)
-        todo = written(todo)
-        if not todo.isEmpty():
-            add(_long_links(todo, heads, classes, docs))
-        first, last = last + 1, last * GROWTH
+    while found or longest > max(SHORT, first):
+        if longest > max(SHORT, first):
+            todo, heads = _long_round(live, first, last)
+            todo = written(todo)
+            if not todo.isEmpty():
+                found.append(_long_links(todo, heads, classes, docs))
+        links = [x for x in found if x is not None]
+        if links:
+            add(reduce(DataFrame.unionByName, links))
+        found, first, last = [], last + 1, last * GROWTH
+        if longest > max(SHORT, first):
+            live = written(_live(postings, labels))
+            longest = live.agg(F.max("m")).first()[0] or 0
     return labels
 
 
@@ -403,9 +409,9 @@ keys AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP
 rep AS (SELECT k, min(doc_id) AS rep FROM keys GROUP BY k),
 rs AS (SELECT s.doc_id, s.g FROM s JOIN rep ON s.doc_id = rep.rep),
 p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (
-  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 75 * (x.n + y.n - common)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(v, c) AS (SELECT rep, rep FROM rep UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v),
 c AS (SELECT v, min(c) AS c FROM r GROUP BY v)
