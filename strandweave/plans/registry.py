@@ -1,6 +1,5 @@
 """Registered queries over the driver's tables, each with its SQL oracle where SQL can say it."""
 
-from __future__ import annotations
+from .queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
