@@ -1,0 +1 @@
+"""Import and export formats around Parquet tables: FASTA, FASTQ, GFA, YAML, side files."""
