@@ -1,53 +1,27 @@
-"""Shared pieces of the training-data operators: table access, lineage cuts, Arrow mapping."""
+"""Shared pieces of the training-data operators: folds, samples and Arrow mapping."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables. Only Spark opens the path, so any store it knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["filter_arrow", "fold", "hashed_share", "held_out", "map_arrow", "short_batches", "table", "written"]
 
+#: Rows of an Arrow batch. Texts are long: the default of 10,000 rows would hold some hundred MB
+#: in the JVM's and the Python worker's buffers at once.
+BATCH_ROWS = 1000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. A folder of our own is made only where that
-    setting is absent, which is the case in tests on one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_dir()
-
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    own = tempfile.mkdtemp(prefix="strandweave-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    A lost executor then costs one re-read instead of the whole history, columns can be pruned
-    on the way back, and the bytes are compressed. Spark removes the folder when it exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.parquet(path)
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def fold(doc_id: Column) -> Column:
@@ -79,7 +53,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in target], schema=target
                 )
+                pa.default_memory_pool().release_unused()
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -90,5 +66,7 @@ def filter_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], object]) -> Dat
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(keep(batch), type=pa.bool_()))
+                pa.default_memory_pool().release_unused()
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, short_batches, table
 
 #: Words of a window; an item with fewer words, but not none, is one window.
 WINDOW = 13
@@ -273,6 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.components import components
 from .common import map_arrow, table, written
 
 WORDS = 5
@@ -127,24 +128,6 @@ def _postings(classes: DataFrame) -> DataFrame:
     return written(lists.select("cid", "n", "central", F.explode(kept).alias("e")).select("e.v", "cid", "n", "central"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) for every node ``a`` of the edges (u, v): ``b`` is the least node of its component,
-    the least nodes themselves left out. Large and small stars by turns, each round written,
-    until no node is both a centre and a leaf."""
-    stars = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct()
-    while True:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        stars = written(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        )
-        if stars.join(stars.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() and stars.groupBy("a").count().where("count > 1").isEmpty():
-            return stars
-
-
 def _live(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings with ``comp``, of lists that lie in several components only; ``m`` members."""
     if labels is None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import short_batches, table
 
 WINDOW = 1024
 #: Id that ends every document.
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = WI
         if rest:
             yield flush()
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
