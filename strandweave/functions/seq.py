@@ -53,7 +53,7 @@ def signed_path(text: Column) -> Column:
     """Inverse of :func:`signed_text`."""
     return F.transform(
         F.filter(F.split(text, ","), lambda p: p != ""),
-        lambda p: F.substr(p, F.lit(1), F.length(p) - 1).cast("int") * F.when(F.right(p, F.lit(1)) == "-", -1).otherwise(1),
+        lambda p: F.substr(p, F.lit(1), F.length(p) - 1).try_cast("int") * F.when(F.right(p, F.lit(1)) == "-", -1).otherwise(1),
     )
 
 

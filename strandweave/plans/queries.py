@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import seq as S
 from ..functions import stats as T
@@ -247,8 +248,6 @@ b AS (SELECT "start", "end", count(*) AS depth FROM p WHERE "end" IS NOT NULL GR
 
 
 def _bridges(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_suppkey")).otherwise(F.col("l_suppkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     pairs = table(spark, sf_dir, "lineitem").select(signed.alias("start"), F.lead(signed).over(order).alias("end"))
@@ -436,3 +435,43 @@ def reversed_paths(spark, sf_dir):
     steps = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", signed.alias("x"))))
     paths = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(steps, lambda s: s.x).alias("p"))
     return paths.select(F.col("l_orderkey").alias("o_orderkey"), S.signed_text(S.reverse_path(F.col("p"))).alias("path"))
+
+
+# ---------------------------------------------------------------- without an SQL form
+
+
+@query()
+def upgma_clusters(spark, sf_dir):
+    """UPGMA trees of suppliers by their parts, one tree per nation, cut at 0.9."""
+    from .assembly import tree_clusters
+
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("sample_id"))
+    rows = _members(spark, sf_dir).join(nation, "l_suppkey")
+    return tree_clusters(D.containment(rows, ["sample_id"], "l_suppkey", "l_partkey", "p_size"), ["sample_id"], 0.9)
+
+
+@query()
+def unitig_graph(spark, sf_dir):
+    """Unitigs of the benchmark texts' DNA letters, one sample, k = 11, repeats expanded."""
+    from .assembly import compress, unpacked
+
+    items = table(spark, sf_dir, "benchmark")
+    seqs = items.select(F.lit("s").alias("sample_id"), F.col("item_id").cast("int").alias("seq_id"), S.dna_letters(F.col("text")).alias("seq"))
+    unitigs, _, _ = unpacked(compress(seqs.where("length(seq) >= 11"), 11, repair=False), ["sample_id"])
+    return unitigs.select("number", "seq", F.round("depth", 6).alias("depth"))
+
+
+@query()
+def resolved_paths(spark, sf_dir):
+    """Bridged graphs of orders as paths through line numbers, one graph per customer."""
+    from .assembly import graph_rows, resolve, unpacked
+
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    base = lines.select(F.lit("s").alias("sample_id"), F.col("o_custkey").alias("cluster"), F.col("l_orderkey").cast("int").alias("seq_id"), F.col("l_linenumber").alias("n"), "l_partkey").distinct()
+    order = Window.partitionBy("cluster", "seq_id").orderBy("n", "l_partkey")
+    steps = base.withColumn("idx", F.row_number().over(order)).select("sample_id", "cluster", "seq_id", "idx", F.col("n").alias("unitig"))
+    follow = steps.withColumn("dst", F.lead("unitig").over(Window.partitionBy("cluster", "seq_id").orderBy("idx"))).where("dst is not null")
+    links = follow.select("sample_id", "cluster", F.col("unitig").alias("src"), "dst").distinct()
+    unitigs = steps.groupBy("sample_id", "cluster", F.col("unitig").alias("number")).agg(F.count(F.lit(1)).alias("depth")).withColumn("seq", F.repeat(F.lit("A"), F.col("number")))
+    out, _, _ = unpacked(resolve(graph_rows(unitigs, links, steps, ["sample_id", "cluster"])), ["sample_id", "cluster"])
+    return out.select("cluster", "number", F.length("seq").alias("length"), "depth", "type")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,8 @@ def read_fasta(spark: SparkSession, path: str, allow_empty: bool = False) -> Dat
     sequences, sequences without name or letters, and names repeated within a file are errors
     unless ``allow_empty``.
     """
+    if not allow_empty and (empty := _empty_files(spark, path)):
+        raise ValueError(f"{empty[0]} is empty")
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), "content")
     files = files.where(F.col("filename").rlike(_ASSEMBLY) | (F.lit(path).endswith(F.col("filename"))))
 
@@ -63,6 +66,13 @@ def read_fasta(spark: SparkSession, path: str, allow_empty: bool = False) -> Dat
     return files.mapInArrow(run, SCHEMA)
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of assemblies of no bytes, which a scan leaves out without a word."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return [s.getPath().getName() for s in found if s.isFile() and s.getLen() == 0 and re.search(_ASSEMBLY, s.getPath().getName())]
+
+
 def _validate(filename: str, rows: list[tuple]) -> None:
     names = [r[2] for r in rows]
     if not rows:

@@ -42,17 +42,17 @@ def parse_gfa(lines: DataFrame) -> Gfa:
     for name, value in COLOURS.items():
         kind = F.when(colour == value, name).otherwise(kind)
     unitigs = of("S").select(
-        p[1].cast("int").alias("number"), p[2].alias("seq"), need(_tag(p, "DP:f:"), "a segment has no depth").cast("double").alias("depth"), kind.alias("type")
+        p[1].try_cast("int").alias("number"), p[2].alias("seq"), need(_tag(p, "DP:f:"), "a segment has no depth").try_cast("double").alias("depth"), kind.alias("type")
     )
-    signed = lambda n, s: n.cast("int") * F.when(s == "-", -1).otherwise(1)
+    signed = lambda n, s: n.try_cast("int") * F.when(s == "-", -1).otherwise(1)
     zero = F.when(F.get(p, F.lit(5)) == "0M", F.lit(1)).otherwise(F.raise_error(F.lit("links must not overlap")).cast("int"))
     links = of("L").select((signed(p[1], p[2]) * zero).alias("src"), signed(p[3], p[4]).alias("dst"))
     paths = of("P").select(
-        p[1].cast("int").alias("seq_id"), signed_path(p[2]).alias("path"), need(_tag(p, "LN:i:"), "a path has no length").cast("bigint").alias("length"),
+        p[1].try_cast("int").alias("seq_id"), signed_path(p[2]).alias("path"), need(_tag(p, "LN:i:"), "a path has no length").try_cast("bigint").alias("length"),
         need(_tag(p, "FN:Z:"), "a path has no file name").alias("filename"), need(_tag(p, "HD:Z:"), "a path has no header").alias("header"),
-        F.coalesce(_tag(p, "CL:i:").cast("int"), F.lit(0)).alias("cluster"),
+        F.coalesce(_tag(p, "CL:i:").try_cast("int"), F.lit(0)).alias("cluster"),
     )
-    return Gfa(of("H").select(_tag(p, "KM:i:").cast("int").alias("k")), unitigs, links, paths)
+    return Gfa(of("H").select(_tag(p, "KM:i:").try_cast("int").alias("k")), unitigs, links, paths)
 
 
 def read_gfa(spark: SparkSession, path: str) -> Gfa:
