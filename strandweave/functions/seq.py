@@ -26,9 +26,11 @@ def dna_letters(text: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of all k-mers in order; empty for shorter sequences (sequence() would count down)."""
-    n = F.length(seq)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)))
+    """Array of all k-mers in order; empty for shorter sequences (sequence() would count down).
+    Letters are single bytes and cut out of the bytes: cutting a text counts from its start each
+    time. For sequences of any length use ``operators.kmers.explode_kmers``."""
+    data, n = seq.cast("binary"), F.octet_length(seq)
+    made = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substr(data, i, F.lit(k)).cast("string"))
     return F.when(n >= k, made).otherwise(F.array().cast("array<string>"))
 
 
@@ -72,17 +74,19 @@ def clean_header(header: Column) -> Column:
 
 
 def directive(header: Column, name: str) -> Column:
-    """Weight that a header gives by ``name=N`` (any case, a token of its own), 1 by default."""
-    found = F.regexp_extract(F.lower(header), rf"(?:^|\s){name.lower()}=(\d+)(?:\s|$)", 1)
-    return F.coalesce(F.try_to_number(F.nullif(found, F.lit("")), F.lit("9" * 9)).cast("int"), F.lit(1))
+    """Weight that a header gives by ``<tool>_name=N`` (any case, a token of its own, whatever the
+    tool's name is), 1 by default."""
+    found = F.regexp_extract(F.lower(header), rf"(?:^|\s)[a-z]+_{name.lower()}=(\d{{1,9}})(?:\s|$)", 1)
+    return F.coalesce(F.nullif(found, F.lit("")).try_cast("int"), F.lit(1))
 
 
 def is_trusted(header: Column) -> Column:
-    return F.contains(F.lower(header), F.lit("autocycler_trusted"))
+    """``<tool>_trusted`` anywhere in the header, in any case."""
+    return F.lower(header).rlike("[a-z]_trusted")
 
 
 def is_ignored(header: Column) -> Column:
-    return F.contains(F.lower(header), F.lit("autocycler_ignore"))
+    return F.lower(header).rlike("[a-z]_ignore")
 
 
 def depth_from_header(header: Column) -> Column:

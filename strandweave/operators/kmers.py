@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.seq import canonical, kmers, reverse_complement
 
 
+#: Places of a sequence that are cut together; longer ones become several rows first.
+CHUNK = 4096
+
+
 def explode_kmers(seqs: DataFrame, keys: list[str], seq: str, k: int) -> DataFrame:
-    """keys, pos (from 0), kmer."""
-    return seqs.select(*keys, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer"))
+    """keys, pos (from 0), kmer. A long sequence is first cut into overlapping pieces, one row
+    each, so a chromosome needs no array of millions of k-mers."""
+    n = F.octet_length(seq)
+    starts = F.when(n >= k, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    cut = seqs.select(*keys, F.col(seq).cast("binary").alias("__b"), F.explode(starts).alias("__at"))
+    cut = cut.select(*keys, "__at", F.substr("__b", F.col("__at") + 1, F.lit(CHUNK + k - 1)).cast("string").alias("__s"))
+    made = cut.select(*keys, "__at", F.posexplode(kmers(F.col("__s"), k)).alias("__p", "kmer"))
+    return made.select(*keys, (F.col("__p") + F.col("__at")).alias("pos"), "kmer")
 
 
 def count_kmers(seqs: DataFrame, seq_id: str, seq: str, k: int, least: int = 1) -> DataFrame:
@@ -22,7 +32,7 @@ def count_kmers(seqs: DataFrame, seq_id: str, seq: str, k: int, least: int = 1)
 
 def count_canonical(seqs: DataFrame, seq: str, k: int) -> DataFrame:
     """kmer, n with both strands counted together."""
-    made = seqs.select(F.explode(kmers(F.col(seq), k)).alias("x"))
+    made = explode_kmers(seqs, [], seq, k).select(F.col("kmer").alias("x"))
     counted = made.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     return counted.groupBy(canonical(F.col("x")).alias("kmer")).agg(F.sum("c").alias("n"))
 
@@ -60,7 +70,7 @@ def kmer_positions(seqs: DataFrame, k: int) -> DataFrame:
     long = seqs.where(F.length("seq") >= k)
     strands = F.array(F.struct(F.lit(True).alias("strand"), fwd.alias("s")), F.struct(F.lit(False).alias("strand"), reverse_complement(fwd).alias("s")))
     each = long.select("sample_id", "seq_id", F.explode(strands).alias("x")).select("sample_id", "seq_id", "x.*")
-    return each.select("sample_id", "seq_id", "strand", F.posexplode(kmers(F.col("s"), k)).alias("pos", "kmer"))
+    return explode_kmers(each, ["sample_id", "seq_id", "strand"], "s", k)
 
 
 def repair_ends(seqs: DataFrame, k: int) -> DataFrame:
@@ -76,7 +86,7 @@ def repair_ends(seqs: DataFrame, k: int) -> DataFrame:
     pad = seqs.withColumn("padded_seq", padded(F.col("seq"), k))
     fwd = pad.select("sample_id", F.col("padded_seq").alias("s"))
     both = fwd.unionByName(fwd.select("sample_id", reverse_complement(F.col("s")).alias("s")))
-    windows = both.select("sample_id", F.explode(kmers(F.col("s"), width)).alias("w")).groupBy("sample_id", "w").agg(F.count(F.lit(1)).alias("c"))
+    windows = explode_kmers(both, ["sample_id"], "s", width).withColumnRenamed("kmer", "w").groupBy("sample_id", "w").agg(F.count(F.lit(1)).alias("c"))
     windows = windows.withColumn("dots", width - F.length(F.translate("w", ".", "")))
     ends = pad.where(F.length("seq") >= k).select("sample_id", F.explode(F.array(
         F.struct(F.lit("s").alias("side"), F.substr("padded_seq", F.lit(half + 1), F.lit(width - half)).alias("key")),

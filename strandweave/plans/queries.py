@@ -416,10 +416,10 @@ def genome_sizes(spark, sf_dir):
 def header_directives(spark, sf_dir):
     key = F.col("c_custkey")
     header = F.concat(
-        F.lit("contig_"), key, F.when(key % 4 == 1, "").otherwise(F.concat(F.lit(" Autocycler_cluster_weight="), key % 4)),
-        F.when(key % 5 == 0, " autocycler_TRUSTED").otherwise(""), F.when(key % 7 == 0, " Autocycler_ignore").otherwise(""),
+        F.lit("contig_"), key, F.when(key % 4 == 1, "").otherwise(F.concat(F.lit(" Tool_cluster_weight="), key % 4)),
+        F.when(key % 5 == 0, " tool_TRUSTED").otherwise(""), F.when(key % 7 == 0, " Tool_ignore").otherwise(""),
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", S.directive(header, "autocycler_cluster_weight").cast("bigint").alias("weight"), S.is_trusted(header).alias("trusted"), S.is_ignored(header).alias("ignored"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.directive(header, "cluster_weight").cast("bigint").alias("weight"), S.is_trusted(header).alias("trusted"), S.is_ignored(header).alias("ignored"))
 
 
 @query("SELECT s_suppkey, s_nationkey::DOUBLE AS depth FROM supplier")

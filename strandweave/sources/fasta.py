@@ -105,8 +105,8 @@ def assembly_sequences(fasta: DataFrame, k: int, sample_id: str = "sample", max_
     return kept.withColumn("r", rank).join(F.broadcast(offset), "filename").select(
         F.lit(sample_id).alias("sample_id"), (F.col("r") + F.col("off")).cast("int").alias("seq_id"), "filename",
         header.alias("contig_header"), F.length("seq").cast("bigint").alias("length"), "seq",
-        directive(header, "autocycler_cluster_weight").alias("cluster_weight"),
-        directive(header, "autocycler_consensus_weight").alias("consensus_weight"),
+        directive(header, "cluster_weight").alias("cluster_weight"),
+        directive(header, "consensus_weight").alias("consensus_weight"),
         is_trusted(header).alias("trusted"), is_ignored(header).alias("ignored"),
     )
 

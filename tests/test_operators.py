@@ -28,8 +28,8 @@ def test_scalars(spark):
     assert one(spark, S.signed_path(F.lit("12+,7-"))) == [12, -7]
     assert one(spark, S.reverse_path(F.array(F.lit(1), F.lit(-2)))) == [2, -1]
     assert one(spark, S.clean_header(F.lit(" a \t b  c"))) == "a b c"
-    assert one(spark, S.directive(F.lit("a Autocycler_consensus_weight=0 b"), "autocycler_consensus_weight")) == 0
-    assert one(spark, S.directive(F.lit("a"), "autocycler_consensus_weight")) == 1
+    assert one(spark, S.directive(F.lit("a Tool_consensus_weight=0 b"), "consensus_weight")) == 0
+    assert one(spark, S.directive(F.lit("a"), "consensus_weight")) == 1
     assert one(spark, S.depth_from_header(F.lit("c1 depth=3.5x"))) is None
     assert one(spark, S.depth_from_header(F.lit("c1_depth-3.5-circular"))) == 3.5
     assert [one(spark, S.parse_genome_size(F.lit(x))) for x in ("47K", "13.1M", "3g", "12", "x")] == [47000, 13100000, 3000000000, 12, None]

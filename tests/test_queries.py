@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandweave.plans.registry import ORACLES, QUERIES
@@ -14,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    value = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, float) else x
+    value = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, float) else x
     return sorted((tuple(value(x) for x in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 

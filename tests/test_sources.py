@@ -9,12 +9,12 @@ from strandweave.sources import fasta, fastq, gfa, yamlio
 
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">one x\ty\nacg\n\nT\n>two\nGG\n")
-    (tmp_path / "b.fna.gz").write_bytes(gzip.compress(b">one Autocycler_ignore\nACGTACGT\n"))
+    (tmp_path / "b.fna.gz").write_bytes(gzip.compress(b">one Tool_ignore\nACGTACGT\n"))
     (tmp_path / "c.xyz").write_text(">decoy\nA\n")
     rows = fasta.read_fasta(spark, str(tmp_path)).orderBy("filename", "record").collect()
     assert [(r.filename, r.name, r.seq) for r in rows] == [("a.fasta", "one", "ACGT"), ("a.fasta", "two", "GG"), ("b.fna.gz", "one", "ACGTACGT")]
     seqs = fasta.assembly_sequences(fasta.read_fasta(spark, str(tmp_path)), 3).orderBy("seq_id").collect()
-    assert [(r.seq_id, r.contig_header, r.ignored) for r in seqs] == [(1, "one x y", False), (2, "one Autocycler_ignore", True)]
+    assert [(r.seq_id, r.contig_header, r.ignored) for r in seqs] == [(1, "one x y", False), (2, "one Tool_ignore", True)]
     with pytest.raises(ValueError, match="contigs per assembly"):
         fasta.assembly_sequences(fasta.read_fasta(spark, str(tmp_path)), 3, max_contigs=1.0)
     for bad in ("", ">a\nA\n>a\nC\n", ">a\n\n", "> \nA\n"):
