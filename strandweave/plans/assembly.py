@@ -28,6 +28,10 @@ _GRAPH = (
 )
 
 
+#: Graphs whose results leave a task together.
+GRAPH_BATCH = 64
+
+
 def graph_rows(unitigs: DataFrame, links: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     """keys, unitigs, links, paths: one row per graph. A graph is bounded by its sample's genome,
     not by the number of samples."""
@@ -42,11 +46,12 @@ def graph_rows(unitigs: DataFrame, links: DataFrame, steps: DataFrame, keys: lis
 
 
 def map_graphs(rows: DataFrame, keys: list[str], edit: Callable[[SeqGraph, dict], SeqGraph]) -> DataFrame:
-    """Every graph row after ``edit(graph, keys)``, one graph in memory at a time."""
+    """Every graph row after ``edit(graph, keys)``; results leave the task in small batches."""
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + _GRAPH
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out: list[dict] = []
             for row in frame.to_dict("records"):
                 graph = SeqGraph.of(
                     [(int(u["number"]), u["seq"], float(u["depth"]), u["kind"]) for u in row["unitigs"]],
@@ -54,12 +59,17 @@ def map_graphs(rows: DataFrame, keys: list[str], edit: Callable[[SeqGraph, dict]
                     {int(p["seq_id"]): [int(x) for x in p["path"]] for p in row["paths"]},
                 )
                 graph = edit(graph, {k: row[k] for k in keys})
-                yield pd.DataFrame([{
+                out.append({
                     **{k: row[k] for k in keys},
                     "unitigs": [{"number": n, "seq": t.seq, "depth": t.depth, "kind": t.kind} for n, t in sorted(graph.tigs.items())],
                     "links": [{"src": x, "dst": y} for x, y in sorted(graph.links())],
                     "paths": [{"seq_id": s, "path": p} for s, p in sorted(graph.paths.items())],
-                }])
+                })
+                if len(out) >= GRAPH_BATCH:
+                    yield pd.DataFrame(out)
+                    out = []
+            if out:
+                yield pd.DataFrame(out)
 
     return rows.mapInPandas(run, schema)
 
