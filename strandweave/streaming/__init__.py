@@ -1,0 +1 @@
+"""Structured Streaming forms of operators on arriving reads."""
