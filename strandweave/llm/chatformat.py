@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 # ---------------------------------------------------------------- escaping
 
@@ -415,6 +415,7 @@ SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint
 
 def _conversations(rows: DataFrame) -> DataFrame:
     """Rows of one conversation side by side and in order, spread by conversation."""
+    short_batches(rows.sparkSession)
     return (
         rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .repartition("conv_id")
