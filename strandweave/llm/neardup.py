@@ -262,8 +262,13 @@ def _long_links(todo: DataFrame, heads: DataFrame, classes: DataFrame, docs: Dat
     if total > BROADCAST_SHINGLES:
         pairs = todo.select("cid", F.explode("ps").alias("p")).select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
         return _verified(written(_estimated(pairs, classes)), classes, docs)
-    texts = {r["cid"]: shingle_set(r["text"]) for r in _texts(heads, classes, docs).collect()}
-    sets = spark.sparkContext.broadcast(texts)
+
+    def packed(batch: pa.RecordBatch) -> dict:
+        return {"cid": batch.column("cid"), "s": [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]}
+
+    # the sets are bounded, their texts are not: these stay on the executors
+    held = map_arrow(_texts(heads, classes, docs), packed, "cid bigint, s binary").collect()
+    sets = spark.sparkContext.broadcast({r["cid"]: np.frombuffer(r["s"], np.int64) for r in held})
 
     def estimate(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"cid": [], "ps": []}
