@@ -19,9 +19,9 @@ from ..functions.seq import canonical
 from ..operators.kmers import explode_kmers
 
 #: Shares of the resolution. Fixed values of the picture.
-TOP_LEFT_GAP, BORDER_GAP, SEQ_GAP, ALL_SEQ_GAPS = 0.1, 0.015, 0.01, 0.15
+TOP_LEFT_GAP, BORDER_GAP, SEQ_GAP, ALL_SEQ_GAPS = 0.1, 0.015, 0.01, 0.1
 #: Colours of the picture.
-WHITE, GREY, COLOURS = (255, 255, 255), (211, 211, 211), {"reverse": (178, 34, 34), "forward": (0, 0, 205)}
+WHITE, SELF, OTHER, BLACK, COLOURS = (255, 255, 255), (211, 211, 211), (245, 245, 245), (0, 0, 0), {"reverse": (178, 34, 34), "forward": (0, 0, 205)}
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def pixels(seqs: DataFrame, plan: Layout, k: int = 32) -> DataFrame:
 
 
 def png(plan: Layout, dots: Iterable[tuple[int, int, str]]) -> bytes:
-    """The picture: boxes of all pairs in grey outline, reverse dots, forward dots over them."""
+    """The picture: boxes of all pairs, reverse dots, forward dots over them."""
     size = plan.resolution
     rows = [bytearray(bytes(WHITE) * size) for _ in range(size)]
 
@@ -89,14 +89,17 @@ def png(plan: Layout, dots: Iterable[tuple[int, int, str]]) -> bytes:
         if 0 <= x < size and 0 <= y < size:
             rows[y][3 * x : 3 * x + 3] = bytes(colour)
 
-    for top, bottom in plan.spans.values():
-        for left, right in plan.spans.values():
-            for x in range(left - 1, right + 2):
-                dot(x, top - 1, GREY)
-                dot(x, bottom + 1, GREY)
+    for i, (top, bottom) in enumerate(plan.spans.values()):
+        for j, (left, right) in enumerate(plan.spans.values()):
+            left, right = max(left, 0), min(right + 1, size)
+            for y in range(top, min(bottom + 1, size)):
+                rows[y][3 * left : 3 * right] = bytes(SELF if i == j else OTHER) * (right - left)
+            for x in range(left - 1, right + 1):
+                dot(x, top - 1, BLACK)
+                dot(x, bottom + 1, BLACK)
             for y in range(top - 1, bottom + 2):
-                dot(left - 1, y, GREY)
-                dot(right + 1, y, GREY)
+                dot(left - 1, y, BLACK)
+                dot(right, y, BLACK)
     for x, y, colour in sorted(dots, key=lambda d: d[2] == "forward"):
         dot(x, y, COLOURS[colour])
 
