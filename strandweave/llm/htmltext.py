@@ -1,12 +1,15 @@
 """Operator 2: main text of web pages by union-free wrapper inference.
 
-Pages of one host come from few templates. A bounded sample of each host's pages is reduced to
-token streams (tags, and texts as hashes); the streams are aligned one after another into a
-wrapper, a regular expression without unions: equal tags stay, differing texts become slots
-(``#``), neighbouring groups of one shape become repeats ``( )+`` and groups that one side lacks
-become options ``( )?``. The wrapper tells where the slots with most text are; that region is the
-article, and it is read from every page of the host, pieces that are no article text left out. A
-page that the wrapper of its host does not fit is its own sample of one.
+Pages of one host come from few templates. Every page is reduced to a token stream (tags, and
+texts as hashes); the distinct streams of a host are aligned one after another into a wrapper, a
+regular expression without unions: equal tags stay, differing texts become slots (``#``),
+neighbouring groups of one shape become repeats ``( )+`` and groups that one side lacks become
+options ``( )?``. No page is left out: streams are merged by host and salt, then by host.
+
+The main text of a page is the text of its ``main`` and ``article`` elements if they hold most of
+it, otherwise the whole page, elements that hold no article text left out in both cases. Of a
+whole page those elements are left out too that the wrapper shows to be boilerplate: required,
+with one text in all pages of the host. Nothing else is dropped.
 """
 
 from __future__ import annotations
@@ -21,12 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import map_arrow, table, written
+from .common import map_arrow, short_batches, table, written
 
-#: Pages of a host that a wrapper is inferred from (those of the least hashes of page_id).
-SAMPLE_PAGES = 6
+#: Distinct pages a host must have before a text common to all of them counts as boilerplate.
+BOILERPLATE_PAGES = 8
 #: Bytes of wrappers that are broadcast; beyond, pages and wrappers are joined by salted host.
 BROADCAST_BYTES = 16 << 20
 SALT = 32
@@ -142,22 +144,23 @@ def parse(source: str) -> Node:
 # ---------------------------------------------------------------- wrappers
 
 # A wrapper item is a list [many, maybe, tag, hint, text, size, kids]: text is a hash or
-# None for a slot, size the characters of text in a sample page.
+# None for a slot (of an element, a hash of all it holds), size the characters of text in a page.
 _MANY, _MAYBE, _TAG, _WORDS, _TEXT, _SIZE, _KIDS = range(7)
 
 
-def skeleton(root: Node) -> list:
+def skeleton(root: Node, at: int = 0) -> list:
     """A page as a wrapper of its own: texts hashed, repeated neighbours folded. Depth is bounded
-    by flattening what lies 200 deep."""
+    by flattening what lies 200 deep; ``at`` is the depth that ``root`` lies at."""
 
     def build(node: Node, depth: int) -> list:
         if node.tag == "#":
             text = node.text.strip()
             return [0, 0, "#", "", xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")), len(text), []]
         kids = [] if node.tag in _RAW or depth > 200 else [build(k, depth + 1) for k in node.kids if k.tag != "#" or k.text.strip()]
-        return [0, 0, node.tag, node.hint, None, 0, _folded(kids)]
+        whole = xxhash.xxh32_intdigest(repr([(k[_TAG], k[_WORDS], k[_TEXT]) for k in kids]).encode("utf-8", "surrogatepass"))
+        return [0, 0, node.tag, node.hint, whole, sum(k[_SIZE] for k in kids), _folded(kids)]
 
-    return build(root, 0)
+    return build(root, at)
 
 
 def _key(item: list) -> tuple:
@@ -165,10 +168,10 @@ def _key(item: list) -> tuple:
 
 
 def _folded(items: list) -> list:
-    """Neighbours of one tag and hint become one repeated item."""
+    """Neighbours of one tag and hint become one repeated item, texts only if both are options."""
     out: list = []
     for item in items:
-        if out and item[_TAG] != "#" and _key(out[-1]) == _key(item):
+        if out and (item[_TAG] != "#" or (item[_MAYBE] and out[-1][_MAYBE])) and _key(out[-1]) == _key(item):
             size = out[-1][_SIZE] + item[_SIZE]
             out[-1] = _merged(out[-1], item)
             out[-1][_MANY], out[-1][_SIZE] = 1, size
@@ -224,31 +227,22 @@ def _skips(item: list) -> bool:
     return item[_TAG] in _SKIP or bool(item[_WORDS] and _SKIP_HINT.search(item[_WORDS]))
 
 
-def _weight(item: list) -> float:
-    """Characters of text outside skipped elements, constant texts at a tenth."""
-    if item[_TAG] == "#":
-        return item[_SIZE] * (1.0 if item[_TEXT] is None else 0.1)
-    if _skips(item):
-        return 0.0
-    inner = sum(map(_weight, item[_KIDS]))
-    return max(inner, item[_SIZE] * (inner > 0)) if item[_MANY] else inner
-
-
-def main_path(wrapper: list) -> list[list[str]]:
-    """Tags and hints from the root to the region of the article: down into the heaviest child
-    as long as it holds most of the text and is no paragraph; an article element ends the way."""
-    path, here = [], wrapper
-    while True:
-        kids = [(w, k) for k in here[_KIDS] if k[_TAG] != "#" and (w := _weight(k)) > 0]
-        total = sum(_weight(k) for k in here[_KIDS])
-        articles = [k for _, k in kids if k[_TAG] in ("article", "main")]
-        best = max(articles, key=_weight) if articles else max(kids, key=lambda x: x[0])[1] if kids else None
-        if best is None or (not articles and (best[_MANY] or best[_TAG] in ("p", "pre", "li", "ul", "ol", "table", "blockquote", "h1", "h2", "h3") or best[_TAG] not in _BLOCK or _weight(best) < 0.6 * total)):
-            return path
-        path.append(list(_key(best)))
-        here = best
-        if best[_TAG] == "article":
-            return path
+def boilerplate(wrapper: list) -> list[list]:
+    """[path, hash] of the elements that every page has with the same text; a path is the tags
+    and hints from the root."""
+    found: list[list] = []
+
+    def walk(item: list, path: list) -> None:
+        for k in item[_KIDS]:
+            if k[_TAG] != "#" and not k[_MAYBE] and not _skips(k):
+                here = [*path, list(_key(k))]
+                if k[_TEXT] is None:
+                    walk(k, here)
+                elif k[_SIZE]:
+                    found.append([here, k[_TEXT]])
+
+    walk(wrapper, [])
+    return found
 
 
 # ---------------------------------------------------------------- texts
@@ -256,8 +250,9 @@ def main_path(wrapper: list) -> list[list[str]]:
 _SPACE = re.compile(r"\s+")
 
 
-def block_texts(region: Node) -> Iterator[str]:
-    """Texts of a region's blocks in page order, references decoded, white space made single."""
+def block_texts(region: Node, dropped: frozenset[int] = frozenset()) -> Iterator[str]:
+    """Texts of a region's blocks in page order, references decoded, white space made single.
+    Elements whose ``id()`` is in ``dropped`` are left out."""
     parts: list[str] = []
 
     def done() -> Iterator[str]:
@@ -276,7 +271,7 @@ def block_texts(region: Node) -> Iterator[str]:
             parts.append(html.unescape(node.text))
         elif node.tag == "br":
             parts.append("\n")
-        elif not node.skipped:
+        elif id(node) not in dropped and not node.skipped:
             if node.tag in _BLOCK:
                 yield from done()
                 todo.append((None, False))
@@ -292,20 +287,34 @@ def _regions(root: Node, path: list[list[str]]) -> list[Node]:
     return found
 
 
-def extract(source: str | None, path: list[list[str]] | None) -> str:
-    """Main text of one page, read where ``path`` points or, if the page has nothing there, where
-    the page by itself has its text. Null and empty pages have none."""
+def _marked(root: Node) -> list[Node]:
+    """The outermost main and article elements of the page, in page order."""
+    found, todo = [], list(reversed(root.kids))
+    while todo:
+        node = todo.pop()
+        if node.tag != "#" and not node.skipped:
+            if node.tag in ("main", "article"):
+                found.append(node)
+            else:
+                todo += reversed(node.kids)
+    return found
+
+
+def extract(source: str | None, fixed: list[list] | None) -> str:
+    """Main text of one page: that of its main and article elements if they hold at least half of
+    all, otherwise all but the boilerplate ``fixed`` (see :func:`boilerplate`). An element is
+    boilerplate only if the page has the very same text there; boilerplate that would be over
+    half of the page is taken for text. Null and empty pages have none."""
     if not source:
         return ""
     root = parse(source)
-    for _ in range(2):
-        if path is not None:
-            regions = _regions(root, path)
-            text = "\n".join(t for r in regions for t in block_texts(r))
-            if text:
-                return text
-        path = main_path(skeleton(root))
-    return ""
+    whole = "\n".join(block_texts(root))
+    text = "\n".join(t for r in _marked(root) for t in block_texts(r))
+    if text and 2 * len(text) >= len(whole):
+        return text
+    same = {id(n) for path, digest in fixed or () for n in _regions(root, path) if skeleton(n, len(path))[_TEXT] == digest}
+    text = "\n".join(block_texts(root, frozenset(same))) if same else whole
+    return text if 2 * len(text) >= len(whole) else whole
 
 
 def host_of(url: Column) -> Column:
@@ -313,39 +322,73 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def _partial(rows: DataFrame) -> DataFrame:
+    """host, salt, n, shown: the distinct skeletons of each host and salt merged in the order of
+    their digests, so that the result depends neither on the order nor on the layout of the rows.
+    Rows stream through in that order, in the memory of one wrapper."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "salt", "n", "shown"]
+        key, last, n, whole = None, None, 0, None
+
+        def row() -> pa.RecordBatch:
+            arrays = [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([json.dumps(whole)], pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            for host, salt, digest, shown in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "digest", "shown")), strict=True):
+                if key == (host, salt) and digest == last:
+                    continue
+                item = json.loads(shown)
+                if key == (host, salt):
+                    n, whole = n + 1, _merged(whole, item)
+                else:
+                    if key is not None:
+                        yield row()
+                    key, n, whole = (host, salt), 1, item
+                last = digest
+        if key is not None:
+            yield row()
+
+    short_batches(rows.sparkSession)
+    dealt = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "digest")
+    return dealt.mapInArrow(run, "host string, salt int, n bigint, shown string")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, n_pages, wrapper (regular expression) and main (JSON path) of every host."""
+    """host, n_pages (distinct ones), wrapper (regular expression) and main (boilerplate, JSON) of
+    every host, from all its pages."""
 
     def skeletons(batch: pa.RecordBatch) -> dict:
-        shown = [json.dumps(skeleton(parse(x.as_py()))) if x.is_valid else "" for x in batch.column("html")]
-        return {"host": batch.column("host"), "rank": batch.column("rank"), "shown": shown}
+        rows = {}
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            shown = json.dumps(skeleton(parse(page.as_py())))
+            digest = xxhash.xxh64_intdigest(shown) - 2**63
+            rows[host, digest] = (host, digest % SALT, digest, shown)
+        return dict(zip(("host", "salt", "digest", "shown"), zip(*rows.values(), strict=True), strict=True))
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id").alias("rank"), "html")
-    shown = map_arrow(rows.where("html is not null and html <> ''"), skeletons, "host string, rank bigint, shown string")
-    order = Window.partitionBy("host").orderBy("rank", "shown")
-    sample = shown.withColumn("i", F.row_number().over(order)).where(F.col("i") <= SAMPLE_PAGES)
-    grouped = sample.groupBy("host").agg(F.sort_array(F.collect_set("shown")).alias("shown"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("html is not null and html <> ''")
+    parts = _partial(map_arrow(rows, skeletons, "host string, salt int, digest bigint, shown string"))
+    grouped = parts.groupBy("host").agg(F.sum("n").alias("n_pages"), F.sort_array(F.collect_list(F.struct("salt", "shown"))).alias("parts"))
 
     def infer(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"host": batch.column("host").to_pylist(), "n_pages": [], "wrapper": [], "main": []}
-        for shown in batch.column("shown").to_pylist():
-            items = [json.loads(x) for x in shown]
-            whole = items[0]
-            for x in items[1:]:
+        out: dict[str, list] = {"host": batch.column("host").to_pylist(), "n_pages": batch.column("n_pages").to_pylist(), "wrapper": [], "main": []}
+        for n, parts in zip(out["n_pages"], batch.column("parts").to_pylist(), strict=True):
+            whole, *others = (json.loads(x["shown"]) for x in parts)
+            for x in others:
                 whole = _merged(whole, x)
-            out["n_pages"].append(len(items))
             out["wrapper"].append(expression(whole))
-            out["main"].append(json.dumps(main_path(whole)))
+            out["main"].append(json.dumps(boilerplate(whole) if n >= BOILERPLATE_PAGES else []))
         return out
 
-    return map_arrow(grouped, infer, "host string, n_pages int, wrapper string, main string")
+    return map_arrow(grouped, infer, "host string, n_pages bigint, wrapper string, main string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Nulls: a null or empty page has the empty text; a null url belongs to the host without name;
-    a null page_id stays null. Repeated rows give repeated results and count once in a sample.
+    a null page_id stays null. Repeated rows give repeated results and count once in a wrapper.
     Very long pages are read whole in time linear in their length. An empty table gives no rows.
     Other columns are not read.
     """

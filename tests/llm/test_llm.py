@@ -112,6 +112,20 @@ def test_html_without_broadcast(spark, monkeypatch):
     assert all(got[i].startswith(f"Head {i}\nFirst & second") for i in range(9))
 
 
+def test_html_second_template(spark):
+    # one page in ten has its article beside the container of the others, which holds a teaser there
+    usual = "<body><div class=top>Site</div><div class=a><p>%d text of the page, as usual, with a good many words</p></div></body>"
+    other = "<body><div class=top>Site</div><div class=a>teaser %d</div><div class=b><p>the article of page %d</p></div></body>"
+    rows = [(i, "http://h.example/", other % (i, i) if i % 10 == 0 else usual % i) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in htmltext.main_text(pages).collect()}
+    for i in range(200):
+        assert got[i] == (f"teaser {i}\nthe article of page {i}" if i % 10 == 0 else f"{i} text of the page, as usual, with a good many words")
+    found = htmltext.wrappers(pages).first()
+    assert found.n_pages == 200 and "(<div.b>" in found.wrapper
+    assert htmltext.wrappers(pages.union(pages).repartition(7)).first() == found
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     texts, good = [], []
