@@ -126,6 +126,18 @@ def test_html_second_template(spark):
     assert htmltext.wrappers(pages.union(pages).repartition(7)).first() == found
 
 
+@pytest.mark.parametrize("n", [1, 20])
+def test_html_without_article(spark, n):
+    body = "<h1>Title %d</h1><div class=lead>Lead %d, some thirty parts of a hundred.</div><div class=body>Body %d, which holds most of what the whole page has to say, and goes on for a good while after that, well past two thirds.</div>"
+    layouts = [f"<body><nav>menu</nav><main>{body}</main></body>", f"<body><nav>menu</nav><div id=w>{body}</div><footer>f</footer></body>", f"<body>{body}<p class=c>All rights reserved.</p></body>"]
+    rows = [(i * 3 + j, f"http://h{j}.example/", x % (i, i, i)) for i in range(n) for j, x in enumerate(layouts)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(n):
+        text = f"Title {i}\nLead {i}, some thirty parts of a hundred.\nBody {i}, which holds most of what the whole page has to say, and goes on for a good while after that, well past two thirds."
+        # what all of many pages have alike is boilerplate, of one page nobody can tell
+        assert [got[i * 3 + j] for j in range(3)] == [text, text, text if n > 1 else f"{text}\nAll rights reserved."]
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     texts, good = [], []
