@@ -4,6 +4,10 @@ A text's words are hashed, every run of K words gets a k-gram hash, and of every
 k-grams the smallest hash is kept, the rightmost one on a tie, with its position. Any passage of
 W + K - 1 words that two texts share therefore leaves a common hash in both. The window minima
 are taken by doubling: minima over 1, 2, 4, ... neighbours, three passes for W = 8.
+
+A text whose first half has no such passage (few words, or none because there is no white space)
+gets a second fingerprint over characters: runs of CHARS in windows of W, or, below SHORT
+characters, every character. Its first half alone then leaves a common hash.
 """
 
 from __future__ import annotations
@@ -18,6 +22,11 @@ from .common import table
 K = 5
 #: k-grams of a window; a power of two.
 W = 8
+#: Characters of a k-gram of characters, and the length from which half a text fills a window of them.
+CHARS = 4
+SHORT = 2 * (W + CHARS - 1)
+#: White space that divides words.
+_BLANK = "[ \\t-\\r]+"
 #: Multiplier of the k-gram hash, modulus 2**31 - 1: every product stays below 2**62.
 _BASE, _MOD = 1_000_003, 2_147_483_647
 #: Documents side by side in one group of the neighbour search.
@@ -26,13 +35,12 @@ GROUP_ROWS = 1500
 SEGMENTS = 32
 
 
-def _kgrams(text: Column) -> Column:
-    """One number per k-gram: hash * 2**31 + (2**31 - 1 - position), so that the least number is
-    the least hash and of equal hashes the rightmost. A text of under K words, but not none, is
+def _kgrams(words: Column, k: int = K) -> Column:
+    """Of an array of words (or characters) one number per k-gram: hash * 2**31 + (2**31 - 1 - position), so that the least number is
+    the least hash and of equal hashes the rightmost. A text of under k words, but not none, is
     one k-gram."""
-    words = F.filter(F.split(F.lower(text), "[ \\t-\\r]+"), lambda w: w != "")
     codes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(_MOD)))
-    powers = [pow(_BASE, K - 1 - j, _MOD) for j in range(K)]
+    powers = [pow(_BASE, k - 1 - j, _MOD) for j in range(k)]
 
     def full(c: Column) -> Column:
         def at(i: Column) -> Column:
@@ -41,14 +49,14 @@ def _kgrams(text: Column) -> Column:
                 h = h + (F.get(c, i + j) * F.lit(p)) % F.lit(_MOD)
             return (h % F.lit(_MOD)) * F.lit(_MOD + 1) + (F.lit(_MOD) - i).cast("bigint")
 
-        return F.transform(F.sequence(F.lit(0), F.size(c) - K), at)
+        return F.transform(F.sequence(F.lit(0), F.size(c) - k), at)
 
     def short(c: Column) -> Column:
         h = F.aggregate(c, F.lit(17).cast("bigint"), lambda a, x: (a * F.lit(_BASE) + x) % F.lit(_MOD))
         return F.array(h * F.lit(_MOD + 1) + F.lit(_MOD).cast("bigint"))
 
     none = F.array().cast("array<bigint>")
-    of = lambda c: F.when(F.size(c) >= K, full(c)).when(F.size(c) > 0, short(c)).otherwise(none)
+    of = lambda c: F.when(F.size(c) >= k, full(c)).when(F.size(c) > 0, short(c)).otherwise(none)
     return _let(codes, of)
 
 
@@ -81,7 +89,30 @@ def _halved(step: int):
 def winnow(text: Column, window: int = W) -> Column:
     """array<bigint> of kept k-grams in the order of their first window (see :func:`_kgrams` for
     the packing of hash and position). Null and empty texts have none."""
-    return F.array_distinct(_minima(_kgrams(F.coalesce(text, F.lit(""))), window))
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BLANK), lambda w: w != "")
+    return F.array_distinct(_minima(_kgrams(words), window))
+
+
+def coarse(text: Column) -> Column:
+    """True if the first half of a text does not hold W + K - 1 whole words with one more behind,
+    so that a text that shares this half may share no k-gram of words. Reads no further than that."""
+    n = F.char_length(text)
+    need = W + K
+    # of need + 2 parts the first and the last may be empty
+    parts = F.split(F.left(text, n - F.floor(n / 2).cast("int")), _BLANK, need + 2)
+    return F.size(F.filter(parts, lambda w: w != "")) < need
+
+
+def winnow_chars(text: Column, short: Column) -> Column:
+    """array<bigint> of kept k-grams of characters; if ``short``, of every single character.
+    Null and empty texts have none."""
+
+    def chars(x: Column) -> Column:
+        return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), ""), lambda c: c != "")
+
+    each = F.array_distinct(_kgrams(chars(F.when(short, text)), 1))
+    runs = F.array_distinct(_minima(_kgrams(chars(F.when(~short, text)), CHARS), W))
+    return F.when(short, each).otherwise(runs)
 
 
 def hashes(kept: Column) -> Column:
@@ -157,6 +188,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     Nulls: a null text is empty; rows with a null doc_id come after all others. Repeated ids go
     in the order of their texts' md5. With one document the next one is itself. Two empty
     fingerprints have likeness 1, an empty and a filled one 0.
+
+    ``char_fingerprint`` and ``edited_char_fingerprint`` are filled where words are too coarse
+    (see :func:`coarse`); ``near_edited_whole`` is the likeness by these there, and otherwise
+    ``near_edited``. It is above 0 for every text.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = Window.partitionBy("group").orderBy("ghost", F.desc("doc_id"), F.md5(F.col("text").cast("binary")))
@@ -168,9 +203,17 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = near.withColumn("n_chars", n.cast("bigint")).withColumn("edited", edited)
     full = full.withColumn("edited_kept", winnow(F.col("edited")))
     full = full.withColumn("h", hashes(F.col("kept"))).withColumn("eh", hashes(F.col("edited_kept")))
+    full = full.withColumn("coarse", coarse(F.col("text")))
+    for name in ("text", "edited"):
+        kept = winnow_chars(F.when(F.col("coarse"), F.col(name)), F.col("n_chars") < SHORT)
+        full = full.withColumn(f"{name}_chars", F.when(F.col("coarse"), kept))
+    by_words = likeness(F.col("h"), F.col("eh"))
+    by_chars = likeness(hashes(F.col("text_chars")), hashes(F.col("edited_chars")))
     return full.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("kept")).alias("fingerprint"), as_text(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("h"), F.col("eh")).alias("near_edited"),
+        by_words.alias("near_edited"),
         likeness(F.col("h"), hashes(F.col("next_kept"))).alias("near_next"),
+        as_text(F.col("text_chars")).alias("char_fingerprint"), as_text(F.col("edited_chars")).alias("edited_char_fingerprint"),
+        F.when(F.col("coarse"), by_chars).otherwise(by_words).alias("near_edited_whole"),
     )

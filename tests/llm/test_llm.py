@@ -311,6 +311,26 @@ def test_fingerprints(spark, tmp_path):
         assert r.near_edited == pytest.approx(like({h for h, _ in a}, {h for h, _ in b})) and r.near_next == pytest.approx(like({h for h, _ in a}, {h for h, _ in c}))
 
 
+def test_fingerprints_of_short_texts(spark, tmp_path):
+    rng = random.Random(15)
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    texts = [*ODD, *(words(rng, n) for n in range(1, 60)), *map(cjk, (2, 7, 23, 500)), "\U0001f600" * 3, "a " * 30 + "y" * 400, words(rng, 20) + cjk(900)]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in fingerprint.op7_fingerprint(spark, str(tmp_path)).collect()}
+    assert sum(r.near_edited == 0 for r in rows.values()) > 10  # words alone see nothing there
+    for i, t in enumerate(texts):
+        r, t, nxt = rows[i], t or "", texts[i - 1 if i else len(texts) - 1] or ""
+        half = len(t) // 2
+        edited, first = t[: len(t) - half] + nxt[:half], t[: len(t) - half]
+        assert r.near_edited_whole > 0
+        assert (r.char_fingerprint is not None) == (len([x for x in re.split("[ \t-\r]+", first) if x]) < 13)
+        if r.char_fingerprint is None:
+            assert r.near_edited_whole == r.near_edited
+        elif len(t) < fingerprint.SHORT:
+            a, b = set(t.lower()), set(edited.lower())
+            assert r.near_edited_whole == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
 def test_best_fit():
     rng = random.Random(6)
     for _ in range(30):
