@@ -105,4 +105,4 @@ def repair_ends(seqs: DataFrame, k: int) -> DataFrame:
     out = keyed.join(starts, ["sample_id", "sk"], "left").join(stops, ["sample_id", "ek"], "left")
     middle = F.substr("padded_seq", F.lit(width + 1), F.length("padded_seq") - 2 * width)
     new = F.concat("s", middle, "e")
-    return out.withColumn("padded_seq", F.when(F.length("seq") >= 2 * k, F.coalesce(new, F.col("padded_seq"))).otherwise(F.col("padded_seq"))).drop("sk", "ek", "s", "e")
+    return out.withColumn("padded_seq", F.when(F.length("seq") >= k, F.coalesce(new, F.col("padded_seq"))).otherwise(F.col("padded_seq"))).drop("sk", "ek", "s", "e")

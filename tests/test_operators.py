@@ -168,3 +168,16 @@ def test_resolving():
     more = [*sound, bridge(-4, 7, [-4, 13, 7]), bridge(1, 8, [1, 14, 8]), bridge(4, -8, [4, 9, -8])]
     mark_conflicts(more)
     assert [b.conflicting for b in more] == [True, False, True, True, False, True, True, True]
+
+
+def test_repair_ends_of_contigs_under_2k(spark):
+    import random
+
+    from strandweave.operators.kmers import repair_ends
+
+    rng = random.Random(3)
+    whole = "".join(rng.choice("ACGT") for _ in range(150))
+    rows = [("s", 1, whole), ("s", 2, whole[30:51]), ("s", 3, whole[60:101]), ("s", 4, whole[20:40])]
+    got = {r.seq_id: r.padded_seq for r in repair_ends(spark.createDataFrame(rows, "sample_id string, seq_id int, seq string"), 21).collect()}
+    assert got[2] == whole[20:61] and got[3] == whole[50:111]  # of k and of 2k - 1 letters
+    assert got[4] == "." * 10 + whole[20:40] + "." * 10  # under k
