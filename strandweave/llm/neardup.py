@@ -83,7 +83,9 @@ def shingle_set(text: str | None, cache: dict[bytes, int] | None = None) -> np.n
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set_key (128-bit digest of the set), sketch (its K least hashes)."""
+    """doc_id, n (set size), set_key (128-bit digest of the set), sketch (its K least hashes), and
+    text_key if ``docs`` has it."""
+    more = [c for c in ("text_key",) if c in docs.columns]
 
     def run(batch: pa.RecordBatch) -> dict:
         cache: dict[bytes, int] = {}
@@ -97,9 +99,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             parts.append(s[:K])
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-        return {"doc_id": batch.column("doc_id"), "n": n, "set_key": keys, "sketch": flat}
+        return {"doc_id": batch.column("doc_id"), "n": n, "set_key": keys, "sketch": flat} | {c: batch.column(c) for c in more}
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, set_key binary, sketch array<bigint>")
+    schema = "doc_id bigint, n bigint, set_key binary, sketch array<bigint>"
+    return map_arrow(docs.select("doc_id", "text", *more), run, ", ".join([schema, *(f"{c} binary" for c in more)]))
 
 
 def _classes(sketched: DataFrame) -> DataFrame:
@@ -354,31 +357,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are all returned alike; of several texts under one id each has the component of its text.
     Very long texts are read whole. An empty table gives no rows. Other columns are not read.
     """
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    out = _grouped(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+    lost = sketches(docs.where(F.col("doc_id").isNull()).select("doc_id", "text")).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(lost)
+
+
+def _grouped(known: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of rows with an id, and ``group``: one binary per
+    component, null without shingles. Two components may have one component_id if one id has
+    several texts. text_key is handed on."""
+    more = [c for c in ("text_key",) if c in known.columns]
     sketched = written(sketches(known))
     classes = _classes(sketched)
     labels = class_labels(classes, known)
     named = classes.select("cid", "rep", "set_key")
     if labels is None:
-        reach = named.select("set_key", F.col("rep").alias("component_id"))
+        reach = named.select("set_key", F.col("rep").alias("component_id"), F.col("set_key").alias("group"))
     else:
         named = named.join(labels.withColumnRenamed("a", "cid"), "cid", "left").withColumn("comp", F.coalesce("b", "cid"))
         named = written(named.select("set_key", "rep", "comp"))
         least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        reach = named.join(least, "comp").select("set_key", "component_id")
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(reach, "set_key", "left")
+        reach = named.join(least, "comp").select("set_key", "component_id", F.col("comp").cast("string").cast("binary").alias("group"))
+    out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_key", *more).join(reach, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-    lost = sketches(docs.where(F.col("doc_id").isNull())).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(lost)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "group", *more)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, all columns as they are: the one of the least doc_id. Rows with
-    a null doc_id stay; of repeated rows with one doc_id, one stays."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group, all columns as they are: the one of the least doc_id, and of
+    several texts under that id in one group the one of the least md5. Texts of one id in
+    different groups are judged each by its group. Rows with a null doc_id stay, copies too; of
+    repeated rows with one doc_id and text, one stays."""
+    # no column of the table may have the name of the key
+    key = next(n for n in ("text_key" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    text_key = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(key, text_key)
+    groups = _grouped(named.select("doc_id", "text", F.col(key).alias("text_key"))).where("kept")
+    own = F.coalesce("group", F.concat(F.lit(b"-"), F.col("doc_id").cast("string").cast("binary"), F.lit(b" "), F.col("text_key")))
+    kept = groups.groupBy(own.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text_key").alias(key)).distinct()
+    one = named.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

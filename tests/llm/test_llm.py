@@ -85,6 +85,13 @@ def test_near_duplicates_odd_rows(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, None, True)], key=str)
 
 
+def test_keep_one_of_ids_with_several_texts(spark):
+    own, copy, other = "the own text of number five", "a text that number three has", "yet another text under five again"
+    rows = [(3, copy), (5, own), (5, copy), (5, own), (5, other), (6, own), (7, other.upper()), (8, ""), (8, None), (None, own)]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, copy), (5, own), (5, other), (8, ""), (8, None), (None, own)], key=str)
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header>"
     "<nav><ul><li><a href='/x'>menu</a></li></ul></nav><div class='sidebar'>side</div><!-- <p>gone</p> --><article><h1>Head %d</h1>"
