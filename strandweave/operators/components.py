@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import small_or_not, written
+
+#: Edges that one task of a round's result writes.
+TASK_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +16,26 @@ def components(edges: DataFrame) -> DataFrame:
     least nodes themselves are left out.
 
     Each round joins every node with the least of its neighbours, which ends in stars after a
-    logarithmic number of rounds whatever the shape. Minima are combined before the shuffle, and
-    each round is written, so lineage stays short.
+    logarithmic number of rounds whatever the shape. Minima are combined before the shuffle and
+    written, so that the join of a hub's edges with its one minimum is a broadcast, or a join whose
+    hub side adaptive execution can split. Nulls: an edge with a null end joins nothing. Repeated
+    edges and loops change nothing; no edges, no rows.
     """
-    stars = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct()
+    stars = written(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("u <> v").distinct())
+    tasks = max(1, -(-stars.count() // TASK_EDGES))
+
+    def least(pairs: DataFrame) -> DataFrame:
+        return small_or_not(written(pairs.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)))
+
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        if stars.join(stars.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() and stars.groupBy("a").count().where("count > 1").isEmpty():
+        large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        lowest = least(large)
+        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
+        ends = stars.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("held"))
+        held = stars.groupBy(F.col("b").alias("a")).agg(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("held"))
+        if ends.unionByName(held).groupBy("a").agg(F.sum("n").alias("n"), F.max("held").alias("held")).where("n > 1 or n = 1 and held = 1").isEmpty():
             return stars
 
 

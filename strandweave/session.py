@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few ids and numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def session(app: str = "strandweave") -> SparkSession:
@@ -28,9 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. A folder of
-    our own is made only where that setting is absent, as in tests on one machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is
+    unset, a local master gets a temporary folder of its own; a cluster gets an error, since its
+    executors would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+    return _own_dir()
 
 
 @lru_cache(maxsize=1)
@@ -52,3 +64,9 @@ def written(df: DataFrame) -> DataFrame:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.parquet(path)
+
+
+def small_or_not(df: DataFrame) -> DataFrame:
+    """``df`` (narrow rows of a written table), marked for broadcast if it was counted to have at
+    most BROADCAST_ROWS rows; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
