@@ -6,32 +6,35 @@
    over 0.4 of their sketches, so they share a value among the rarest 0.6 of each sketch (plus
    one), the prefix that is listed. Rare values first means that a passage which thousands of
    documents quote is listed only for documents made up of such passages.
-3. Within a list no task sees all pairs. Every list is compared with its most central member
-   first, which joins most groups of copies. Then only members of different components are
-   compared: short lists pair by pair, long lists in rounds with their next 7, 56, 448, ...
-   members, until every list lies in one component or has been compared in full. A round of long
-   lists makes one row per member, holding the ids it is to be compared with.
-4. Each pair met must pass the sizes, then the union sketch's estimate, then the exact index on
-   full sets. Links feed connected components by alternating large and small stars.
-
-What can be missed is a pair whose sketches share under 0.5 (candidates) or 0.53 (estimate) of
-64 values at a true index of 0.75, that is, 4.6 and 4.0 standard deviations below the mean for a
-pair right at the limit. Sets of up to 64 shingles are their own sketches and never missed.
+3. Every list is compared with its most central member, the one whose values are listed most, which
+   joins most groups of copies. What links join becomes components (alternating stars).
+4. Lists that still lie in several components are merged by their most central member, and cut into
+   bands of set sizes, as linked sizes differ by a factor of 0.75 at most. In each band the members
+   outside of the group's largest component are a query set against all its members, in blocks:
+   a task holds two blocks at a time, whatever the group's size, and a block of queries gives at
+   most one row per component that it joins.
+5. In a block, pairs of fitting sizes and different components must pass the estimate from the
+   union of their sketches (up to where both are complete), then the exact index on full sets.
+
+Steps 3 and 4 compare every pair that shares a listed value, so what can be missed is a linked pair
+whose sketches share under 0.5 (candidates) or whose union's sketch has under 0.53 in common: 4.6 and
+4.0 standard deviations below the mean for a pair right at 0.75 with K = 64. Sets of up to K shingles
+are their own sketches and never missed; with ``k=None`` sets are kept whole and none is missed at all.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import map_arrow, table, written
+from ..session import small_or_not
+from .common import map_arrow, short_batches, table, written
 
 WORDS = 5
 K = 64
@@ -41,14 +44,11 @@ PERCENT = 75
 COMMON = 0.5
 #: Share of the union's sketch below which a pair is not verified.
 ESTIMATE = 0.53
-#: Members up to which a list is compared pair by pair after its first round.
-SHORT = 32
-#: Rounds compare a long list with members 2..8, 9..64, ... in the order of centrality.
-GROWTH = 8
-#: Shingles of compared-with members that may be broadcast (8 bytes each); beyond, pair by pair.
-BROADCAST_SHINGLES = 3_000_000
-#: Rows of ids (a few dozen bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Members and shingles (8 bytes each) of a block; a task holds two blocks. One set may be larger.
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 1_000_000
+#: Pairs of two blocks that are intersected one by one rather than by a matrix product.
+FEW_PAIRS = 500
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -82,9 +82,9 @@ def shingle_set(text: str | None, cache: dict[bytes, int] | None = None) -> np.n
     return np.unique(_mixed(out).view(np.int64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set_key (128-bit digest of the set), sketch (its K least hashes), and
-    text_key if ``docs`` has it."""
+def sketches(docs: DataFrame, k: int | None = K) -> DataFrame:
+    """doc_id, n (set size), set_key (128-bit digest of the set), sketch (its ``k`` least hashes, all
+    with None), and text_key if ``docs`` has it."""
     more = [c for c in ("text_key",) if c in docs.columns]
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 cache.clear()
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            parts.append(s[:K])
+            parts.append(s[:k])
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
         return {"doc_id": batch.column("doc_id"), "n": n, "set_key": keys, "sketch": flat} | {c: batch.column(c) for c in more}
@@ -115,9 +115,10 @@ def _classes(sketched: DataFrame) -> DataFrame:
     )
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """v, cid, n, central: the rarest sketch values of each class that other classes retain too.
-    ``central`` is how often its values occur in all: the original of many copies has most."""
+def _lists(classes: DataFrame, k: int | None) -> DataFrame:
+    """cid, n, central, vs: the rarest sketch values of each class that other classes
+    retain too; classes without any are left out. ``central`` is how often a class's values occur
+    in all: the original of many copies has most."""
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = (
@@ -125,259 +126,222 @@ def _postings(classes: DataFrame) -> DataFrame:
         .groupBy("cid")
         .agg(F.first("n").alias("n"), F.sum("df").alias("central"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"))
     )
-    size = F.least(F.col("n"), F.lit(K)).cast("int")
+    size = (F.col("n") if k is None else F.least(F.col("n"), F.lit(k))).cast("int")
     prefix = size - F.ceil(size * COMMON).cast("int") + 1
     kept = F.slice("l", F.lit(1), F.greatest(prefix - (size - F.size("l")), F.lit(0)))
-    return written(lists.select("cid", "n", "central", F.explode(kept).alias("e")).select("e.v", "cid", "n", "central"))
+    return written(lists.select("cid", "n", "central", F.transform(kept, lambda x: x.v).alias("vs")).where("size(vs) > 0"))
 
 
-def _live(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with ``comp``, of lists that lie in several components only; ``m`` members."""
-    if labels is None:
-        live = postings.withColumn("comp", F.col("cid"))
-    else:
-        live = postings.join(labels.withColumnRenamed("a", "cid"), "cid", "left").withColumn("comp", F.coalesce("b", "cid")).drop("b")
-    lists = live.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-    return live.join(lists.where("low <> high").select("v", "m"), "v")
-
-
-def _fits(n, p_n):
-    return F.least(n, p_n) * 100 >= F.greatest(n, p_n) * PERCENT
-
-
-def _pairs_with(live: DataFrame, heads: DataFrame) -> DataFrame:
-    """Distinct pairs (u < v) of the heads of each list with its less central members of other
-    components, sizes permitting."""
-    p = heads.select("v", *(F.col(c).alias(f"p_{c}") for c in ("central", "cid", "n", "comp")))
-    later = F.struct("p_central", "p_cid") > F.struct("central", "cid")
-    met = live.join(p, "v").where(later & (F.col("comp") != F.col("p_comp")) & _fits(F.col("n"), F.col("p_n")))
-    return met.select(F.least("cid", "p_cid").alias("u"), F.greatest("cid", "p_cid").alias("v")).distinct()
-
-
-def _first_pairs(live: DataFrame) -> DataFrame:
-    """Every list with its most central member."""
-    heads = live.groupBy("v").agg(F.max(F.struct("central", "cid", "n", "comp")).alias("p")).select("v", "p.*")
-    return _pairs_with(live, heads)
-
-
-def _long_round(live: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """For long lists, (cid, ps): classes that ``cid`` is to be compared with, out of members
-    ``first``..``last`` of its lists; and the ids of all these members."""
-    rows = live.where(F.col("m") > max(SHORT, first))
-    order = Window.partitionBy("v").orderBy(F.desc("central"), F.desc("cid"))
-    heads = rows.withColumn("r", F.row_number().over(order)).where(F.col("r").between(first, last))
-    heads = written(heads.select("v", "central", "cid", "n", "comp"))
-    held = heads.groupBy("v").agg(F.collect_list(F.struct("central", "cid", "n", "comp")).alias("p"))
-    mine = F.filter(
-        "p",
-        lambda x: (F.struct(x.central, x.cid) > F.struct("central", "cid")) & (x.comp != F.col("comp")) & _fits(F.col("n"), x.n),
-    )
-    met = rows.join(held, "v").select("cid", F.transform(mine, lambda x: x.cid).alias("ps")).where(F.size("ps") > 0)
-    todo = met.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"))
-    return todo, heads.select("cid").distinct()
-
-
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that the union's sketch lets pass; exact where the union fits into the sketch."""
-    own = classes.select("cid", "n", "sketch")
-    a = own.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-    b = own.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    # the union's K least values; those in both sketches are counted by what the union lacks
-    union = F.slice(F.array_sort(F.array_union("su", "sv")), 1, K)
-    rows = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "su", "sv", union.alias("w"))
-    m = F.size("w")
-    common = F.size(F.array_intersect("w", F.array_intersect("su", "sv")))
-    exact = (F.col("nu") <= K) & (F.col("nv") <= K) & (m < K)
-    passed = F.when(exact, common * 100 >= m * PERCENT).otherwise(common >= m * ESTIMATE)
-    return rows.where(passed).select("u", "v")
-
-
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
-def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cid, text of the classes in ``ids``, from one scan of the documents."""
-    need = ids.join(classes.select("cid", F.col("rep").alias("doc_id"), "set_key"), "cid")
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
+def _sets(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, set (sorted int64 hashes) of the classes in ``lists``, from one scan of the documents."""
+    need = classes.select("cid", F.col("rep").alias("doc_id"), "set_key").join(small_or_not(lists.select("cid")), "cid")
+    need = small_or_not(written(need))
 
     def own(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"cid": [], "text": []}
-        for cid, key, text in zip(*(batch.column(c).to_pylist() for c in ("cid", "set_key", "text")), strict=True):
-            if xxhash.xxh3_128_digest(shingle_set(text).tobytes()) == key:  # ids may repeat with other texts
-                out["cid"].append(cid)
-                out["text"].append(text)
+        out: dict[str, list] = {"cid": [], "set": []}
+        cache: dict[bytes, int] = {}
+        for cid, key, text in zip(*(batch.column(c) for c in ("cid", "set_key", "text")), strict=True):
+            made = shingle_set(text.as_py(), cache).tobytes()
+            if len(cache) > 100_000:
+                cache.clear()
+            if xxhash.xxh3_128_digest(made) == key.as_py():  # ids may repeat with other texts
+                out["cid"].append(cid.as_py())
+                out["set"].append(made)
         return out
 
     wanted = docs.select("doc_id", "text").join(need, "doc_id")
-    return map_arrow(wanted, own, "cid bigint, text string").dropDuplicates(["cid"])
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
-    ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
-    texts = written(_texts(ids, classes, docs))
-    rows = pairs.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("tu")), "u")
-    rows = rows.join(texts.select(F.col("cid").alias("v"), F.col("text").alias("tv")), "v")
-
-    def check(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"u": [], "v": []}
-        sets: dict[int, np.ndarray] = {}
-        for u, v, tu, tv in zip(*(batch.column(c) for c in ("u", "v", "tu", "tv")), strict=True):
-            u, v = u.as_py(), v.as_py()
-            for c, t in ((u, tu), (v, tv)):
-                if c not in sets:
-                    if len(sets) > 200:
-                        sets = {k: sets[k] for k in (u, v) if k in sets}
-                    sets[c] = shingle_set(t.as_py())
-            if _linked(sets[u], sets[v]):
-                out["u"].append(u)
-                out["v"].append(v)
-        return out
+    return written(map_arrow(wanted, own, "cid bigint, set binary").dropDuplicates(["cid"]))
 
-    return map_arrow(rows, check, "u bigint, v bigint")
-
-
-def _passing(own: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The union-sketch estimate of one sketch against many (rows padded with the largest
-    int64), as in :func:`_estimated`."""
-    pad = np.iinfo(np.int64).max
-    mine = np.full(K, pad, np.int64)
-    mine[: len(own)] = own
-    both = np.sort(np.concatenate([rows, np.broadcast_to(mine, rows.shape)], axis=1), axis=1)
-    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != pad)
-    rank = 1 + np.cumsum(np.concatenate([np.zeros((len(rows), 1), bool), both[:, 1:] != both[:, :-1]], axis=1), axis=1)
-    m = np.minimum(K, np.max(np.where(both != pad, rank, 0), axis=1))
-    common = (twice & (rank[:, 1:] <= K)).sum(axis=1)
-    exact = (n <= K) & (sizes <= K) & (m < K)
-    return np.where(exact, common * 100 >= m * PERCENT, common >= m * ESTIMATE)
-
-
-def _long_links(todo: DataFrame, heads: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links of (cid, ps) rows. The sets of all ``heads`` are broadcast if they are small, so that
-    each member's sketch, and then its text, moves once whatever it is compared with; otherwise
-    the rows become pairs."""
-    spark = docs.sparkSession
-    wanted = classes.join(heads, "cid")
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    if total > BROADCAST_SHINGLES:
-        pairs = todo.select("cid", F.explode("ps").alias("p")).select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
-        return _verified(written(_estimated(pairs, classes)), classes, docs)
-
-    def packed(batch: pa.RecordBatch) -> dict:
-        return {"cid": batch.column("cid"), "s": [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]}
-
-    # the sets are bounded, their texts are not: these stay on the executors
-    held = map_arrow(_texts(heads, classes, docs), packed, "cid bigint, s binary").collect()
-    sets = spark.sparkContext.broadcast({r["cid"]: np.frombuffer(r["s"], np.int64) for r in held})
-
-    def estimate(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"cid": [], "ps": []}
-        held = sets.value
-        for cid, n, sketch, ps in zip(*(batch.column(c) for c in ("cid", "n", "sketch", "ps")), strict=True):
-            ids = np.asarray(ps.values)
-            rows = np.full((len(ids), K), np.iinfo(np.int64).max, np.int64)
-            sizes = np.empty(len(ids), np.int64)
-            for i, p in enumerate(ids.tolist()):
-                s = held[p]
-                rows[i, : min(K, len(s))] = s[:K]
-                sizes[i] = len(s)
-            ok = ids[_passing(np.asarray(sketch.values), n.as_py(), rows, sizes)]
-            if len(ok):
-                out["cid"].append(cid.as_py())
-                out["ps"].append(ok.tolist())
-        return out
 
-    passed = map_arrow(todo.join(classes.select("cid", "n", "sketch"), "cid"), estimate, "cid bigint, ps array<bigint>")
-    passed = written(passed)
-    rows = _texts(passed.select("cid"), classes, docs).join(passed, "cid")
-
-    def check(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"u": [], "v": []}
-        held = sets.value
-        for cid, text, ps in zip(*(batch.column(c) for c in ("cid", "text", "ps")), strict=True):
-            cid, a = cid.as_py(), shingle_set(text.as_py())
-            for p in ps.as_py():
-                if _linked(a, held[p]):
-                    out["u"].append(min(cid, p))
-                    out["v"].append(max(cid, p))
-        return out
+# ---------------------------------------------------------------- blocks
+
 
-    return map_arrow(rows, check, "u bigint, v bigint")
-
-
-def class_labels(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(a, b): component of every class that has one of other classes too; None without links."""
-    postings = _postings(classes)
-    labels: DataFrame | None = None
-
-    def add(links: DataFrame) -> None:
-        nonlocal labels
-        links = written(links)
-        if not links.isEmpty():
-            known = links if labels is None else links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            labels = components(known)
-
-    def of(pairs: DataFrame) -> DataFrame | None:
-        passed = written(_estimated(pairs, classes))
-        return None if passed.isEmpty() else _verified(passed, classes, docs)
-
-    tried = written(_first_pairs(_live(postings, None)))
-    if (links := of(tried)) is not None:
-        add(links)
-    live = written(_live(postings, labels))
-    short = live.where(F.col("m") <= SHORT)
-    found = [of(_pairs_with(short, short).join(tried, ["u", "v"], "left_anti"))]
-    longest = live.agg(F.max("m")).first()[0] or 0
-    first, last = 2, GROWTH
-    while found or longest > max(SHORT, first):
-        if longest > max(SHORT, first):
-            todo, heads = _long_round(live, first, last)
-            todo = written(todo)
-            if not todo.isEmpty():
-                found.append(_long_links(todo, heads, classes, docs))
-        links = [x for x in found if x is not None]
-        if links:
-            add(reduce(DataFrame.unionByName, links))
-        found, first, last = [], last + 1, last * GROWTH
-        if longest > max(SHORT, first):
-            live = written(_live(postings, labels))
-            longest = live.agg(F.max("m")).first()[0] or 0
-    return labels
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    flat_b, rows_b = np.concatenate(b), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    if len(a) <= 4:
+        for i, x in enumerate(a):
+            if len(x):
+                at = np.minimum(np.searchsorted(x, flat_b), len(x) - 1)
+                out[i] = np.bincount(rows_b[x[at] == flat_b], minlength=len(b))
+        return out
+    flat_a, rows_a = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
+    both = np.intersect1d(flat_a, flat_b)
+    at_a, at_b = np.searchsorted(both, flat_a), np.searchsorted(both, flat_b)
+    for first in range(0, len(both), 4096):
+        part = both[first : first + 4096]
+
+        def shown(flat: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+            col = at - first
+            ok = (col >= 0) & (col < len(part))
+            ok[ok] = part[col[ok]] == flat[ok]
+            m = np.zeros((n, len(part)), np.float32)
+            m[rows[ok], col[ok]] = 1
+            return m
+
+        out += (shown(flat_a, rows_a, at_a, len(a)) @ shown(flat_b, rows_b, at_b, len(b)).T).astype(np.int64)
+    return out
+
+
+def _estimates(a: list[np.ndarray], b: list[np.ndarray], k: int | None) -> np.ndarray:
+    """Which pairs the union of their sketches lets pass, up to the value where both are complete;
+    exact where both sets are no larger than a sketch."""
+    sa, sb = [x[:k] for x in a], [x[:k] for x in b]
+    whole = np.iinfo(np.int64).max
+    ends_a, ends_b = (np.array([whole if k is None or len(x) <= k else x[k - 1] for x in y]) for y in (a, b))
+    in_a = np.stack([np.searchsorted(s, np.minimum(e, ends_b), "right") for s, e in zip(sa, ends_a, strict=True)])
+    in_b = np.stack([np.searchsorted(s, np.minimum(e, ends_a), "right") for s, e in zip(sb, ends_b, strict=True)], axis=1)
+    common = _overlaps(sa, sb)
+    union = in_a + in_b - common
+    exact = (ends_a == whole)[:, None] & (ends_b == whole)[None, :]
+    return np.where(exact, common * 100 >= union * PERCENT, common >= union * ESTIMATE)
+
+
+def _linked(both, na, nb):
+    return 100 * both >= PERCENT * (na + nb - both)
+
+
+def _block_links(queries: list[tuple], members: list[tuple], k: int | None) -> Iterator[tuple[int, int]]:
+    """Links (cid, cid) of queries with members, both (cid, comp, set): for each query one with
+    every other component that it is linked with, less those that join nothing more."""
+    qs, ms = [x[2] for x in queries], [x[2] for x in members]
+    q_comp, m_comp = (np.array([x[1] for x in side]) for side in (queries, members))
+    nq, nm = (np.array([len(x) for x in side]) for side in (qs, ms))
+    small, large = np.minimum(nq[:, None], nm[None, :]), np.maximum(nq[:, None], nm[None, :])
+    open_ = (q_comp[:, None] != m_comp[None, :]) & (small * 100 >= large * PERCENT)
+    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return
+    ok = open_[np.ix_(rows, cols)] & _estimates([qs[i] for i in rows], [ms[j] for j in cols], k)
+    pairs = [(rows[i], cols[j]) for i, j in zip(*np.nonzero(ok), strict=True)] if ok.sum() <= FEW_PAIRS else None
+    if pairs is None:
+        keep_r, keep_c = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        rows, cols, ok = rows[keep_r], cols[keep_c], ok[np.ix_(keep_r, keep_c)]
+        ok &= _linked(_overlaps([qs[i] for i in rows], [ms[j] for j in cols]), nq[rows][:, None], nm[cols][None, :])
+        pairs = ((rows[i], cols[j]) for i, j in zip(*np.nonzero(ok), strict=True))
+    else:
+        pairs = ((i, j) for i, j in pairs if _linked(len(np.intersect1d(qs[i], ms[j], assume_unique=True)), nq[i], nm[j]))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(int(q_comp[i])), find(int(m_comp[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            yield queries[i][0], members[j][0]
+
+
+def _compared(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+    """(u, v): links of the queries with the members of the same group and band. Both have g, f
+    (group, band), cid, comp, n. Every group is dealt out in blocks of members times blocks of
+    queries by hash of cid, so that a hot group is many units of bounded size."""
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+        return rows.groupBy("g", "f").agg(count.cast("int").alias(name))
+
+    dealt = small_or_not(written(blocks(members, "mb").join(blocks(queries, "qb"), ["g", "f"])))
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["g", "f", "qi", "mi", "role"]
+    q = queries.join(dealt, ["g", "f"]).select("*", own("qb").alias("qi"), each("mb").alias("mi"), F.lit(0).alias("role"))
+    m = members.join(dealt, ["g", "f"]).select("*", each("qb").alias("qi"), own("mb").alias("mi"), F.lit(1).alias("role"))
+    rows = q.select(*keys, "cid", "comp").unionByName(m.select(*keys, "cid", "comp")).join(sets, "cid")
+    schema = "u bigint, v bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = list(_block_links(*held, k)) if held[0] and held[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in (*keys, "cid", "comp")]
+            for g, f, qi, mi, role, cid, comp, made in zip(*names, batch.column("set"), strict=True):
+                if unit != (g, f, qi, mi):
+                    if unit is not None:
+                        yield links()
+                    unit, held = (g, f, qi, mi), ([], [])
+                held[role].append((cid, comp, np.frombuffer(made.as_buffer(), np.int64)))
+        if unit is not None:
+            yield links()
+
+    short_batches(rows.sparkSession)
+    return rows.repartition("g", "f", "qi", "mi").sortWithinPartitions(*keys).select(*keys, "cid", "comp", "set").mapInArrow(run, schema)
+
+
+def _with_heads(lists: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+    """Links of every list's members with its most central one."""
+    members = lists.select("cid", "n", "central", F.explode("vs").alias("v"))
+    heads = members.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    heads = small_or_not(written(heads.select("v", F.col("h.cid").alias("g"), F.col("h.n").alias("gn"))))
+    fits = F.least("n", "gn") * 100 >= F.greatest("n", "gn") * PERCENT
+    met = members.join(heads, "v").where((F.col("cid") != F.col("g")) & fits)
+    met = written(met.select("g", F.lit(0).alias("f"), "cid", F.col("cid").alias("comp"), "n", "gn").distinct())
+    queries = met.select("g", "f", F.col("g").alias("cid"), F.col("g").alias("comp"), F.col("gn").alias("n")).distinct()
+    return _compared(met.drop("gn"), queries, sets, k)
+
+
+def _with_all(lists: DataFrame, labels: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+    """Links across components between members of one list, by group and band (step 4)."""
+    known = lists.join(small_or_not(labels.withColumnRenamed("a", "cid")), "cid", "left")
+    members = known.select("cid", "n", "central", F.coalesce("b", "cid").alias("comp"), F.explode("vs").alias("v"))
+    ends = members.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "cid")).alias("h"))
+    heads = small_or_not(written(ends.where("low <> high").select("v", F.col("h.cid").alias("g"))))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    met = written(members.join(heads, "v").select("g", band.alias("f"), "cid", "comp", "n").distinct())
+    largest = met.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("x"))
+    largest = small_or_not(written(largest.select("g", F.col("x.comp").alias("main"))))
+    # rounding may put a pair at the very limit two bands apart: one more is looked at on each side
+    bands = F.explode(F.sequence(F.col("f") - 2, F.col("f") + 2))
+    queries = met.join(largest, "g").where("comp <> main").select("g", bands.alias("f"), "cid", "comp", "n")
+    return _compared(met, queries, sets, k)
+
+
+def class_labels(classes: DataFrame, docs: DataFrame, k: int | None = K) -> DataFrame:
+    """(a, b): component of every class that has one of other classes too."""
+    lists = _lists(classes, k)
+    sets = _sets(lists, classes, docs)
+    labels = components(_with_heads(lists, sets, k))
+    links = written(_with_all(lists, labels, sets, k))
+    if links.isEmpty():
+        return labels
+    return components(links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+
+def near_duplicates(docs: DataFrame, k: int | None = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Linked are documents with 100 * intersection >= 75 * union of their shingle sets; components
-    are what links reach. Nulls: a null text has no shingles and is linked with nothing; a row
+    are what links reach. ``k`` is the size of a sketch; None keeps whole sets, which misses no link
+    but lists and moves every shingle. Nulls: a null text has no shingles and is linked with nothing; a row
     with a null doc_id is returned with a null component_id and kept. Repeated rows (of one id)
     are all returned alike; of several texts under one id each has the component of its text.
     Very long texts are read whole. An empty table gives no rows. Other columns are not read.
     """
-    out = _grouped(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+    out = _grouped(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), k).select("doc_id", "n_shingles", "component_id", "kept")
     lost = sketches(docs.where(F.col("doc_id").isNull()).select("doc_id", "text")).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(lost)
 
 
-def _grouped(known: DataFrame) -> DataFrame:
+def _grouped(known: DataFrame, k: int | None = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of rows with an id, and ``group``: one binary per
     component, null without shingles. Two components may have one component_id if one id has
     several texts. text_key is handed on."""
     more = [c for c in ("text_key",) if c in known.columns]
-    sketched = written(sketches(known))
+    sketched = written(sketches(known, k))
     classes = _classes(sketched)
-    labels = class_labels(classes, known)
-    named = classes.select("cid", "rep", "set_key")
-    if labels is None:
-        reach = named.select("set_key", F.col("rep").alias("component_id"), F.col("set_key").alias("group"))
-    else:
-        named = named.join(labels.withColumnRenamed("a", "cid"), "cid", "left").withColumn("comp", F.coalesce("b", "cid"))
-        named = written(named.select("set_key", "rep", "comp"))
-        least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        reach = named.join(least, "comp").select("set_key", "component_id", F.col("comp").cast("string").cast("binary").alias("group"))
+    labels = small_or_not(class_labels(classes, known, k).withColumnRenamed("a", "cid"))
+    named = classes.select("cid", "rep", "set_key").join(labels, "cid", "left").withColumn("comp", F.coalesce("b", "cid"))
+    named = written(named.select("set_key", "rep", "comp"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    reach = written(named.join(least, "comp").select("set_key", "component_id", F.col("comp").cast("string").cast("binary").alias("group")))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_key", *more).join(reach, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "group", *more)

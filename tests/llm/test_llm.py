@@ -72,8 +72,11 @@ def test_near_duplicates(spark):
     assert kept.columns == documents(spark, texts).columns
 
 
-def test_near_duplicates_pair_by_pair(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BROADCAST_SHINGLES", 0)
+@pytest.mark.parametrize(("broadcast", "rows", "shingles", "few"), [(-1, 256, 10**6, 500), (10**6, 2, 10**6, 0), (10**6, 256, 300, 500)])
+def test_near_duplicates_in_small_blocks_without_broadcast(spark, monkeypatch, broadcast, rows, shingles, few):
+    monkeypatch.setattr("strandweave.session.BROADCAST_ROWS", broadcast)
+    for name, value in (("BLOCK_ROWS", rows), ("BLOCK_SHINGLES", shingles), ("FEW_PAIRS", few)):
+        monkeypatch.setattr(neardup, name, value)
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts)).collect()}
     assert got == brute_components(texts)
@@ -452,3 +455,23 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[2]) == {ids[c] for _, c in parts.values()}
     assert all(not brute_hits(t, [(1, item)])[1] for t in kept[3].values()) and 122 not in kept[2]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept[3])
+
+
+def test_near_duplicates_recall_and_whole_sets(spark):
+    """Pairs right above the limit: sketches find what whole sets find."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        w = words(rng, rng.randint(150, 400)).split()
+        other = list(w)
+        for at in rng.sample(range(5, len(w) - 5), round(0.028 * len(w))):  # each edit costs five shingles
+            other[at] = words(rng, 1)
+        texts += [" ".join(w), " ".join(other)]
+    exact = brute_components(texts)
+    linked = sum(1 for i, (_, c) in exact.items() if c != i)
+    docs = documents(spark, texts)
+    for k in (neardup.K, None):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, k).collect()}
+        assert got == exact
+    assert 15 <= linked <= 60
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
