@@ -367,9 +367,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(7)
-    texts = [*ODD, "<|endoftext|> it's", *(words(rng, n) for n in (10, 500, 900, 2000)), "dup", "dup"]
+    special = ["<|endoftext|> it's", "a <|endoftext|> b", "<|endoftext|>" * 3 + "<|endoftext|", " <|endoftext|>\n" * 700]
+    texts = [*ODD, *special, *(words(rng, n) for n in (10, 500, 900, 2000)), "dup", "dup"]
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     rows = packing.pack(documents(spark, texts), block=5).collect()
     for i, t in enumerate(texts):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
@@ -387,6 +387,15 @@ def test_packing(spark):
     assert max(taken.values()) <= 1024
 
 
+def test_packing_does_not_depend_on_splits(spark):
+    rng = random.Random(9)
+    docs = documents(spark, [words(rng, rng.randint(5, 300)) for _ in range(600)])
+    few, many = ({r.sequence_id for r in packing.pack(docs.repartition(n)).collect()} for n in (1, 60))
+    ids = sum(r.length for r in packing.pack(docs).collect())
+    assert len(few) == len(many) == -(-ids // packing.WINDOW)
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models
 
