@@ -4,12 +4,19 @@ Pages of one host come from few templates. Every page is reduced to a token stre
 texts as hashes); the distinct streams of a host are aligned one after another into a wrapper, a
 regular expression without unions: equal tags stay, differing texts become slots (``#``),
 neighbouring groups of one shape become repeats ``( )+`` and groups that one side lacks become
-options ``( )?``. No page is left out: streams are merged by host and salt, then by host.
+options ``( )?``. A mismatch is resolved where the cross search finds the nearest match. No page is
+left out: streams are merged in the order of their digests, in shares of each host, then the shares.
 
-The main text of a page is the text of its ``main`` and ``article`` elements if they hold most of
-it, otherwise the whole page, elements that hold no article text left out in both cases. Of a
-whole page those elements are left out too that the wrapper shows to be boilerplate: required,
-with one text in all pages of the host. Nothing else is dropped.
+The wrapper decides what a page's text is:
+
+* Its ``main`` and ``article`` elements are the article if they hold at least half of the text that
+  all pages of the host have outside of menus and the like. What lies beside them is then left out,
+  whatever a single page's proportions are.
+* Otherwise the whole page is, less what the wrapper shows to be boilerplate: elements that every
+  page has with one and the same text, and lists of links.
+
+A page without the places that the wrapper names is read by itself, by the same rules. Tags and
+class names that say "menu", "advert" and so on hold no article text in either case.
 """
 
 from __future__ import annotations
@@ -17,8 +24,11 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -29,11 +39,16 @@ from .common import map_arrow, short_batches, table, written
 
 #: Distinct pages a host must have before a text common to all of them counts as boilerplate.
 BOILERPLATE_PAGES = 8
-#: Bytes of wrappers that are broadcast; beyond, pages and wrappers are joined by salted host.
+#: A required element of a wrapper is a menu if so many percent of its text, in this many links a
+#: page at least, is link text.
+MENU_PERCENT, MENU_LINKS = 90, 3
+#: Bytes of decisions that are broadcast; beyond, pages and decisions are joined by salted host.
 BROADCAST_BYTES = 16 << 20
 SALT = 32
-#: Siblings that are aligned by their longest common blocks; longer lists are aligned by place.
-ALIGN = 2000
+#: Pages of a table for each share that a host's pages are merged in; shares merged by one task.
+SHARE_PAGES, FAN_IN = 20_000, 64
+#: Open elements at a time; deeper ones are read as children of the last of these.
+DEPTH = 256
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes"))
@@ -43,82 +58,119 @@ _BLOCK = frozenset(
 )
 #: Elements that hold no article text.
 _SKIP = frozenset(
-    "head title script style noscript template nav header footer aside form menu button select textarea input iframe object embed svg canvas math "
-    "audio video map dialog search noembed noframes xmp label fieldset".split()
+    "head title script style noscript template nav header footer aside form menu button select textarea input iframe object embed svg canvas "
+    "audio video dialog search noembed noframes xmp fieldset".split()
 )
-#: Words of class, id and role that say the same.
-_SKIP_HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebars?|aside|complementary|contentinfo|ads?|adverts?|advertisements?|adbox|"
-    r"sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|"
-    r"social|related|recommended|comments?|commentlist|disqus|respond|replies|reply|search|toolbar|pagination|pager|hidden|skip)(?=$|[\s_-]|\d)"
+#: Names (words of class, id and role) that say the same of a block, and words that may go with them.
+_NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar sidebars aside complementary contentinfo ad ads advert adverts "
+    "advertisement advertisements adbox sponsor sponsors sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices alert "
+    "popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments commentlist disqus respond replies "
+    "reply search toolbar pagination pager hidden skip".split()
 )
+_WITH = frozenset("site page global top bottom left right box bar container wrapper wrap list area section block link links button buttons slot unit widget posts form".split())
+#: Elements inside a text, in which only these names count.
+_INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark math q s samp small span strong sub sup table tbody td th time tr u var".split())
+_INLINE_NAMES = frozenset(("ad", "ads", "advert", "adverts", "advertisement", "advertisements", "sponsored", "hidden"))
 #: A start tag of the left closes an open element of the right, up to the given fences.
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<|[^<]+", re.S)
-_HINTS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A tag from its "<" on: a quote opens a value only right after "=". Nothing is tried twice.
+_TAG_AT = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)*+)>""")
+_ATTRIBUTES = re.compile(r"""([^\s=/"'][^\s=/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*))?)?""")
+_DIGITS = re.compile(r"\d+$")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    """Element (``tag`` and the words of its class, id and role) or, with tag ``#``, text."""
+    """Element (``name`` holds the words of its class, id and role that are not numbered) or, with
+    tag ``#``, text. ``skipped`` elements hold no article text."""
 
-    __slots__ = ("tag", "hint", "kids", "text")
+    __slots__ = ("tag", "name", "kids", "text", "skipped")
 
-    def __init__(self, tag: str, hint: str = "", text: str = ""):
-        self.tag, self.hint, self.text = tag, hint, text
+    def __init__(self, tag: str, name: str = "", text: str = "", skipped: bool = False):
+        self.tag, self.name, self.text, self.skipped = tag, name, text, skipped
         self.kids: list[Node] = []
 
-    @property
-    def skipped(self) -> bool:
-        return self.tag in _SKIP or bool(self.hint and _SKIP_HINT.search(self.hint))
+
+def _tells(word: str, names: frozenset[str]) -> bool:
+    parts = [_DIGITS.sub("", x) for x in re.split(r"[-_]+", word) if x]
+    return any(x in names for x in parts) and all(x in names or x in _WITH or not x for x in parts)
 
 
-def _hint(attributes: str) -> str:
-    out = []
-    for m in _HINTS.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            out.append("hidden")
-        elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                out.append("hidden")
-        elif name in ("class", "id", "role"):
-            out.append(value)
-    return " ".join(out)
+def _named(tag: str, attributes: str) -> tuple[str, bool]:
+    """The name of an element, and whether it is skipped."""
+    words: list[str] = []
+    unseen = False
+    for m in _ATTRIBUTES.finditer(attributes):
+        key = m[1].lower()
+        if key in ("class", "id", "role"):
+            words += (m[2] or m[3] or m[4] or "").lower().split()
+        elif key == "hidden" or (key == "aria-hidden" and (m[2] or m[3] or m[4] or "").lower() == "true"):
+            unseen = True
+        elif key == "style" and _UNSEEN.search((m[2] or m[3] or m[4] or "").lower()):
+            unseen = True
+    names = _INLINE_NAMES if tag in _INLINE else _NAMES
+    fixed = [] if tag in ("html", "body") else [w for w in words if not any(c.isdigit() for c in w)]
+    return " ".join(fixed), unseen or tag in _SKIP or (tag not in ("html", "body", "main", "article") and any(_tells(w, names) for w in words))
 
 
 def parse(source: str) -> Node:
     """A light tree of a page: implied end tags, raw text elements and stray tags are handled,
-    character references in texts are not decoded yet."""
+    character references in texts are not decoded yet. Time is linear in the length."""
     root = Node("")
-    stack = [root]
+    stack, deeper = [root], defaultdict(int)  # deeper: elements below DEPTH that await an end tag
+    is_open: dict[str, int] = defaultdict(int)
     at, n = 0, len(source)
-    match = _TOKEN.match
+
+    pieces: list[str] = []  # of a text that no tag has ended yet
+
+    def end_text() -> None:
+        if pieces:
+            stack[-1].kids.append(Node("#", "", "".join(pieces)))
+            pieces.clear()
+
+    def close(i: int) -> None:
+        end_text()
+        for x in stack[i:]:
+            is_open[x.tag] -= 1
+        del stack[i:]
+
     while at < n:
-        m = match(source, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                kids = stack[-1].kids
-                if kids and kids[-1].tag == "#":
-                    kids[-1].text += piece
-                else:
-                    kids.append(Node("#", "", piece))
+        mark = source.find("<", at)
+        if mark != at:
+            pieces.append(source[at : mark if mark >= 0 else n])
+            if mark < 0:
+                break
+        at = mark
+        m = _TAG_AT.match(source, at)
+        if m is None:
+            after = source[at + 1 : at + 2]
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 2)
+                at = n if end < 0 else end + 3
+            elif re.match("/?[A-Za-z]", source[at + 1 : at + 3]):
+                break  # the page ends inside of a tag
+            elif after in ("!", "?", "/"):
+                end = source.find(">", at)
+                at = n if end < 0 else end + 1
+            else:
+                pieces.append("<")
+                at += 1
             continue
-        name = name.lower()
+        at = m.end()
+        name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
+            if deeper[name]:
+                deeper[name] -= 1
+            elif is_open[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name))
             continue
-        if name in _BLOCK:
+        if name in _BLOCK and is_open["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _BLOCK:
                     break
@@ -128,65 +180,80 @@ def parse(source: str) -> Node:
                 if stack[i].tag in fence:
                     break
                 if stack[i].tag in closed:
-                    del stack[i:]
+                    close(i)
                     break
-        node = Node(name, _hint(m[3]) if m[3] else "")
+        attributes = m[3]
+        fixed, skipped = _named(name, attributes) if attributes else ("", name in _SKIP)
+        node = Node(name, fixed, "", skipped)
+        end_text()
         stack[-1].kids.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
+            end = _raw_end(name).search(source, at)
             node.kids.append(Node("#", "", source[at : end.start()]))
-            at = end.end()
-        elif name not in _VOID and not m[3].endswith("/"):
-            stack.append(node)
+            at = source.find(">", end.start()) + 1 or n
+        elif name not in _VOID and not attributes.endswith("/"):
+            if len(stack) < DEPTH:
+                stack.append(node)
+                is_open[name] += 1
+            else:
+                deeper[name] += 1
+    end_text()
     return root
 
 
+@lru_cache(maxsize=16)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])|\Z", re.I)
+
+
 # ---------------------------------------------------------------- wrappers
 
-# A wrapper item is a list [many, maybe, tag, hint, text, size, kids]: text is a hash or
-# None for a slot (of an element, a hash of all it holds), size the characters of text in a page.
-_MANY, _MAYBE, _TAG, _WORDS, _TEXT, _SIZE, _KIDS = range(7)
+# A wrapper item is a list [many, maybe, tag, name, text, size, links, kids]: text is a hash or None
+# for a slot (of an element, a hash of all it holds); size and links are the characters of text and of
+# link text that all merged pages have in it. The name of a skipped element starts with "!".
+_MANY, _MAYBE, _TAG, _NAME, _TEXT, _SIZE, _LINKS, _KIDS = range(8)
+
 
+def _node_key(node: Node) -> tuple[str, str]:
+    return node.tag, f"!{node.name}" if node.skipped else node.name
 
-def skeleton(root: Node, at: int = 0) -> list:
-    """A page as a wrapper of its own: texts hashed, repeated neighbours folded. Depth is bounded
-    by flattening what lies 200 deep; ``at`` is the depth that ``root`` lies at."""
 
-    def build(node: Node, depth: int) -> list:
-        if node.tag == "#":
-            text = node.text.strip()
-            return [0, 0, "#", "", xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")), len(text), []]
-        kids = [] if node.tag in _RAW or depth > 200 else [build(k, depth + 1) for k in node.kids if k.tag != "#" or k.text.strip()]
-        whole = xxhash.xxh32_intdigest(repr([(k[_TAG], k[_WORDS], k[_TEXT]) for k in kids]).encode("utf-8", "surrogatepass"))
-        return [0, 0, node.tag, node.hint, whole, sum(k[_SIZE] for k in kids), _folded(kids)]
+def _plain_hash(value: object) -> int:
+    return xxhash.xxh32_intdigest(repr(value).encode("utf-8", "surrogatepass"))
 
-    return build(root, at)
+
+def skeleton(node: Node) -> list:
+    """A page, or an element of one, as a wrapper of its own: texts hashed, repeated neighbours
+    folded."""
+    if node.tag == "#":
+        text = _SPACE.sub(" ", node.text).strip()
+        return [0, 0, "#", "", _plain_hash(text), len(text), 0, []]
+    kids = [] if node.tag in _RAW else [skeleton(k) for k in node.kids if k.tag != "#" or not k.text.isspace()]
+    size = sum(k[_SIZE] for k in kids)
+    whole = _plain_hash([(k[_TAG], k[_NAME], k[_TEXT]) for k in kids])
+    return [0, 0, *_node_key(node), whole, size, size if node.tag == "a" else sum(k[_LINKS] for k in kids), _folded(kids)]
 
 
 def _key(item: list) -> tuple:
-    return item[_TAG], item[_WORDS]
+    return item[_TAG], item[_NAME]
 
 
 def _folded(items: list) -> list:
-    """Neighbours of one tag and hint become one repeated item, texts only if both are options."""
+    """Neighbours of one tag and name become one repeated item, texts only if both are options."""
     out: list = []
     for item in items:
         if out and (item[_TAG] != "#" or (item[_MAYBE] and out[-1][_MAYBE])) and _key(out[-1]) == _key(item):
-            size = out[-1][_SIZE] + item[_SIZE]
             out[-1] = _merged(out[-1], item)
-            out[-1][_MANY], out[-1][_SIZE] = 1, size
+            out[-1][_MANY] = 1
         else:
             out.append(item)
-    for item in out:
-        if item[_TAG] != "#":
-            item[_SIZE] = max(item[_SIZE], sum(k[_SIZE] for k in item[_KIDS]))
     return out
 
 
 def _merged(a: list, b: list) -> list:
     text = a[_TEXT] if a[_TEXT] == b[_TEXT] else None
     kids = align(a[_KIDS], b[_KIDS]) if a[_KIDS] or b[_KIDS] else []
-    return [a[_MANY] | b[_MANY], a[_MAYBE] | b[_MAYBE], a[_TAG], a[_WORDS], text, max(a[_SIZE], b[_SIZE]), kids]
+    return [a[_MANY] | b[_MANY], a[_MAYBE] | b[_MAYBE], a[_TAG], a[_NAME], text, a[_SIZE] + b[_SIZE], a[_LINKS] + b[_LINKS], kids]
 
 
 def _optional(item: list) -> list:
@@ -194,20 +261,39 @@ def _optional(item: list) -> list:
 
 
 def align(a: list, b: list) -> list:
-    """One list of items for two: matches merged, what one side lacks made optional."""
+    """One list of items for two: matches merged, what one side lacks made optional. At a mismatch
+    each side is searched for the other's next item, and the nearer find is taken."""
     ka, kb = list(map(_key, a)), list(map(_key, b))
     if ka == kb:
         return [_merged(x, y) for x, y in zip(a, b, strict=True)]
-    if max(len(a), len(b)) > ALIGN:
-        n = next((i for i, (x, y) in enumerate(zip(ka, kb, strict=False)) if x != y), min(len(a), len(b)))
-        return _folded([_merged(x, y) for x, y in zip(a[:n], b[:n], strict=True)] + [_optional(x) for x in a[n:] + b[n:]])
+    where: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+    for held, keys in zip(where, (ka, kb), strict=True):
+        for i, k in enumerate(keys):
+            held[k].append(i)
+
+    def ahead(held: dict, key: tuple, start: int) -> int | None:
+        places = held.get(key, ())
+        i = bisect_left(places, start)
+        return places[i] if i < len(places) else None
+
     out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [_merged(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if ka[i] == kb[j]:
+            out.append(_merged(a[i], b[j]))
+            i, j = i + 1, j + 1
+            continue
+        in_b, in_a = ahead(where[1], ka[i], j), ahead(where[0], kb[j], i)
+        if in_b is None and in_a is None:
+            out += [_optional(a[i]), _optional(b[j])]
+            i, j = i + 1, j + 1
+        elif in_a is None or (in_b is not None and in_b - j <= in_a - i):
+            out += [_optional(x) for x in b[j:in_b]]
+            j = in_b
         else:
-            out += [_optional(x) for x in a[i:j] + b[k:m]]
-    return _folded(out)
+            out += [_optional(x) for x in a[i:in_a]]
+            i = in_a
+    return _folded(out + [_optional(x) for x in a[i:] + b[j:]])
 
 
 def expression(item: list) -> str:
@@ -216,33 +302,70 @@ def expression(item: list) -> str:
         body = "#" if item[_TEXT] is None else f"'{item[_TEXT]:08x}'"
     else:
         inner = "".join(map(expression, item[_KIDS]))
-        name = item[_TAG] + (f".{item[_WORDS].replace(' ', '.')}" if item[_WORDS] else "")
+        name = item[_TAG] + (f".{item[_NAME].replace(' ', '.')}" if item[_NAME] else "")
         body = f"<{name}>{inner}</{item[_TAG]}>" if item[_TAG] else inner
     if item[_MANY]:
         body = f"({body})+"
     return f"({body})?" if item[_MAYBE] else body
 
 
-def _skips(item: list) -> bool:
-    return item[_TAG] in _SKIP or bool(item[_WORDS] and _SKIP_HINT.search(item[_WORDS]))
+def _mass(item: list) -> int:
+    """Characters of all pages that may be article text."""
+    if item[_TAG] == "#":
+        return item[_SIZE]
+    return 0 if item[_NAME].startswith("!") else sum(map(_mass, item[_KIDS]))
 
 
-def boilerplate(wrapper: list) -> list[list]:
-    """[path, hash] of the elements that every page has with the same text; a path is the tags
-    and hints from the root."""
-    found: list[list] = []
+def decision(wrapper: list, distinct: int) -> dict:
+    """What a wrapper of so many distinct pages says: ``main``, the places (tags and names from the root) of
+    the article; or else ``fixed``, [place, hash] of texts that all pages have, and ``menus``, places
+    of lists of links."""
+    main: list[list] = []
+    held = 0
 
-    def walk(item: list, path: list) -> None:
+    def marked(item: list, path: list) -> None:
+        nonlocal held
         for k in item[_KIDS]:
-            if k[_TAG] != "#" and not k[_MAYBE] and not _skips(k):
-                here = [*path, list(_key(k))]
-                if k[_TEXT] is None:
-                    walk(k, here)
-                elif k[_SIZE]:
-                    found.append([here, k[_TEXT]])
-
-    walk(wrapper, [])
-    return found
+            if k[_TAG] == "#" or k[_NAME].startswith("!"):
+                continue
+            here = [*path, list(_key(k))]
+            if k[_TAG] in ("main", "article"):
+                main.append(here)
+                held += _mass(k)
+            else:
+                marked(k, here)
+
+    marked(wrapper, [])
+    if held and 2 * held >= _mass(wrapper):
+        return {"main": [x for i, x in enumerate(main) if x not in main[:i]]}
+    fixed: list[list] = []
+    menus: list[list] = []
+
+    def rest(item: list, path: list) -> None:
+        for k in item[_KIDS]:
+            if k[_TAG] == "#" or k[_NAME].startswith("!"):
+                continue
+            here = [*path, list(_key(k))]
+            if k[_SIZE] and not k[_MAYBE] and k[_TEXT] is not None:
+                fixed.append([here, k[_TEXT]])
+            elif k[_SIZE] and k[_TAG] not in _INLINE and 100 * k[_LINKS] >= MENU_PERCENT * k[_SIZE] and _many_links(k):
+                menus.append(here)
+            elif not k[_MAYBE] or k[_TEXT] is None:
+                rest(k, here)
+
+    if distinct >= BOILERPLATE_PAGES:
+        rest(wrapper, [])
+    return {"fixed": fixed, "menus": menus}
+
+
+def _many_links(item: list) -> bool:
+    """Whether an element has a repeated link, or MENU_LINKS of them."""
+
+    def count(x: list) -> int:
+        own = 1 if x[_TAG] == "a" else sum(map(count, x[_KIDS]))
+        return own * MENU_LINKS if x[_MANY] else own
+
+    return sum(map(count, item[_KIDS])) >= MENU_LINKS
 
 
 # ---------------------------------------------------------------- texts
@@ -257,33 +380,44 @@ def block_texts(region: Node, dropped: frozenset[int] = frozenset()) -> Iterator
 
     def done() -> Iterator[str]:
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
+            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
                 yield text
 
-    todo: list[tuple[Node | None, bool]] = [(k, False) for k in reversed(region.kids)]
+    todo: list[Node | None] = list(reversed(region.kids))
     while todo:
-        node, _ = todo.pop()
+        node = todo.pop()
         if node is None:
             yield from done()
         elif node.tag == "#":
-            parts.append(html.unescape(node.text))
+            parts.append(node.text)
         elif node.tag == "br":
             parts.append("\n")
-        elif id(node) not in dropped and not node.skipped:
+        elif not node.skipped and id(node) not in dropped:
             if node.tag in _BLOCK:
                 yield from done()
-                todo.append((None, False))
-            todo += [(k, False) for k in reversed(node.kids)]
+                todo.append(None)
+            todo += reversed(node.kids)
     yield from done()
 
 
-def _regions(root: Node, path: list[list[str]]) -> list[Node]:
-    """Elements of the page that lie on the path, in page order."""
-    found = [root]
-    for tag, hint in path:
-        found = [k for node in found for k in node.kids if k.tag == tag and k.hint == hint]
+def _at(root: Node, paths: list[list]) -> list[Node]:
+    """Elements of the page at one of the places, in page order."""
+    wanted: dict = {}
+    for path in paths:
+        at = wanted
+        for key in path:
+            at = at.setdefault(tuple(key), {})
+        at[None] = True
+    found: list[Node] = []
+    todo: list[tuple[Node, dict]] = [(root, wanted)]
+    while todo:
+        node, at = todo.pop()
+        if None in at:
+            found.append(node)
+        elif at:
+            todo += [(k, at[key]) for k in reversed(node.kids) if k.tag != "#" and (key := _node_key(k)) in at]
     return found
 
 
@@ -300,19 +434,24 @@ def _marked(root: Node) -> list[Node]:
     return found
 
 
-def extract(source: str | None, fixed: list[list] | None) -> str:
-    """Main text of one page: that of its main and article elements if they hold at least half of
-    all, otherwise all but the boilerplate ``fixed`` (see :func:`boilerplate`). An element is
-    boilerplate only if the page has the very same text there; boilerplate that would be over
-    half of the page is taken for text. Null and empty pages have none."""
+def extract(source: str | None, said: dict | None) -> str:
+    """Main text of one page, by the ``decision`` on its host's wrapper. Where that names places of
+    the article and the page has text there, it is that text. Otherwise it is the page's own main
+    and article elements if they hold at least half of its text, or the page less the wrapper's
+    boilerplate; boilerplate that would be over half of the page is taken for text."""
     if not source:
         return ""
     root = parse(source)
+    said = said or {}
+    text = "\n".join(t for r in _at(root, said.get("main", [])) for t in block_texts(r))
+    if text:
+        return text
     whole = "\n".join(block_texts(root))
     text = "\n".join(t for r in _marked(root) for t in block_texts(r))
     if text and 2 * len(text) >= len(whole):
         return text
-    same = {id(n) for path, digest in fixed or () for n in _regions(root, path) if skeleton(n, len(path))[_TEXT] == digest}
+    same = {id(n) for path, digest in said.get("fixed", ()) for n in _at(root, [path]) if skeleton(n)[_TEXT] == digest}
+    same |= {id(n) for n in _at(root, said.get("menus", []))}
     text = "\n".join(block_texts(root, frozenset(same))) if same else whole
     return text if 2 * len(text) >= len(whole) else whole
 
@@ -322,66 +461,74 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def _partial(rows: DataFrame) -> DataFrame:
-    """host, salt, n, shown: the distinct skeletons of each host and salt merged in the order of
-    their digests, so that the result depends neither on the order nor on the layout of the rows.
-    Rows stream through in that order, in the memory of one wrapper."""
+_PARTS = "host string, share int, digest bigint, pages bigint, seen array<bigint>, shown string"
+
+
+def _merged_shares(rows: DataFrame, shares: int) -> DataFrame:
+    """``rows`` (_PARTS) of each host, dealt into so many shares, merged in the order of their
+    digests, so that the result depends neither on the order nor on the layout of the rows. Rows
+    stream through in that order, in the memory of one wrapper. ``seen`` are the least digests of
+    distinct pages, BOILERPLATE_PAGES of them at most; a repeated page is merged once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "salt", "n", "shown"]
-        key, last, n, whole = None, None, 0, None
+        key, last, pages, seen, whole = None, None, 0, set(), None
 
         def row() -> pa.RecordBatch:
-            arrays = [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([json.dumps(whole)], pa.string())]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            text = json.dumps(whole)
+            cols = ([key[0]], [key[1]], [xxhash.xxh64_intdigest(text) - 2**63], [pages], [sorted(seen)], [text])
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
         for batch in batches:
-            for host, salt, digest, shown in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "digest", "shown")), strict=True):
-                if key == (host, salt) and digest == last:
+            for host, share, digest, n, own, shown in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if key == (host, share) and digest == last:
                     continue
-                item = json.loads(shown)
-                if key == (host, salt):
-                    n, whole = n + 1, _merged(whole, item)
+                if key == (host, share):
+                    pages, whole = pages + n, _merged(whole, json.loads(shown))
+                    seen = set(sorted(seen.union(own))[:BOILERPLATE_PAGES])
                 else:
                     if key is not None:
                         yield row()
-                    key, n, whole = (host, salt), 1, item
+                    key, pages, seen, whole = (host, share), n, set(own), json.loads(shown)
                 last = digest
         if key is not None:
             yield row()
 
     short_batches(rows.sparkSession)
-    dealt = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "digest")
-    return dealt.mapInArrow(run, "host string, salt int, n bigint, shown string")
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("digest"), F.lit(shares)).cast("int")).repartition("host", "share")
+    return dealt.sortWithinPartitions("host", "share", "digest").mapInArrow(run, _PARTS)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, n_pages (distinct ones), wrapper (regular expression) and main (boilerplate, JSON) of
-    every host, from all its pages."""
+    """host, n_pages (distinct ones), wrapper (regular expression) and main (decision, JSON) of every
+    host, from all its pages."""
 
     def skeletons(batch: pa.RecordBatch) -> dict:
         rows = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             shown = json.dumps(skeleton(parse(page.as_py())))
             digest = xxhash.xxh64_intdigest(shown) - 2**63
-            rows[host, digest] = (host, digest % SALT, digest, shown)
-        return dict(zip(("host", "salt", "digest", "shown"), zip(*rows.values(), strict=True), strict=True))
+            rows[host, digest] = (host, 0, digest, 1, [digest], shown)
+        return dict(zip((x.split()[0] for x in _PARTS.split(", ")), zip(*rows.values(), strict=True), strict=True))
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("html is not null and html <> ''")
-    parts = _partial(map_arrow(rows, skeletons, "host string, salt int, digest bigint, shown string"))
-    grouped = parts.groupBy("host").agg(F.sum("n").alias("n_pages"), F.sort_array(F.collect_list(F.struct("salt", "shown"))).alias("parts"))
+    shares = max(1, -(-pages.count() // SHARE_PAGES))
+    parts = map_arrow(rows, skeletons, _PARTS)
+    while True:
+        parts = _merged_shares(parts, shares)
+        if shares == 1:
+            break
+        shares = -(-shares // FAN_IN)
 
     def infer(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"host": batch.column("host").to_pylist(), "n_pages": batch.column("n_pages").to_pylist(), "wrapper": [], "main": []}
-        for n, parts in zip(out["n_pages"], batch.column("parts").to_pylist(), strict=True):
-            whole, *others = (json.loads(x["shown"]) for x in parts)
-            for x in others:
-                whole = _merged(whole, x)
+        out: dict[str, list] = {"host": batch.column("host").to_pylist(), "n_pages": batch.column("pages").to_pylist(), "wrapper": [], "main": []}
+        for seen, shown in zip(batch.column("seen").to_pylist(), batch.column("shown").to_pylist(), strict=True):
+            whole = json.loads(shown)
             out["wrapper"].append(expression(whole))
-            out["main"].append(json.dumps(boilerplate(whole) if n >= BOILERPLATE_PAGES else []))
+            out["main"].append(json.dumps(decision(whole, len(seen))))
         return out
 
-    return map_arrow(grouped, infer, "host string, n_pages bigint, wrapper string, main string")
+    return map_arrow(parts, infer, "host string, n_pages bigint, wrapper string, main string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -484,3 +484,104 @@ def test_near_duplicates_recall_and_whole_sets(spark):
         assert got == exact
     assert 15 <= linked <= 60
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def read_by_library(source):
+    """A brute-force reader of pages with an article, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks = [], [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "p" and "p" in self.open:
+                self.handle_endtag("p")
+            if tag in htmltext._BLOCK:
+                self.blocks.append("")
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag not in htmltext._VOID:
+                self.open.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.open:
+                gone = self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+                del self.open[-len(gone) :]
+                if any(t in htmltext._BLOCK for t in gone):
+                    self.blocks.append("")
+
+        def handle_data(self, data):
+            if "article" in self.open and not any(t in htmltext._SKIP for t in self.open):
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(source or "")
+    reader.close()
+    return "\n".join(x for b in reader.blocks if (x := re.sub(r"\s+", " ", b).strip()))
+
+
+def test_html_against_a_brute_force_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    wanted = {r.page_id: read_by_library(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in htmltext.main_text(pages).collect()}
+    assert got == wanted and sum(map(len, got.values())) > 10_000
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p title=it's>Hello there</p><p>It isn't lost</p></article>", "Hello there\nIt isn't lost"),
+        ("<article><div class='article-header'><h1>Big title</h1></div><p>t</p></article>", "Big title\nt"),
+        ("<article><div class='share-prices'><p>up</p></div><p>see <a class='related'>this</a></p></article>", "up\nsee this"),
+        ("<article><table class='ad-spend'><tr><td>5</table><p><math>x</math> <label>y</label></article>", "5\nx y"),
+        ("<article><div class='cookie-banner'>ok?</div><div id=comments>mine</div><div class=sidebar-2>s</div><p>t</p></article>", "t"),
+        ("<article><p>a &am", "a &am"),
+        ("<article><p>a < b <3 <!-- > --> c</ >d</article>", "a < b <3 cd"),
+        ("<main><h1>T</h1><div class=lead>lead</div><div class=body>body</div></main>", "T\nlead\nbody"),
+    ],
+)
+def test_html_pages(source, text):
+    assert htmltext.extract(source, None) == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 10**5, "<b>" * 10**5 + "</i>" * 10**5, "<" * 10**5, "<b>" * 10**5 + "<hr>" * 10**5, "<script>" + "</script " * 10**5, '<a x=">" ' * 10**5, "<ul>" + "<b>" * 10**4 + "<li></li>" * 10**4, "<h2>a</h2><p>b</p>" * 10**4],
+)
+def test_html_takes_linear_time(source):
+    import time
+
+    began = time.process_time()
+    htmltext.extract(source, None)
+    whole = htmltext.skeleton(htmltext.parse(source))
+    htmltext._merged(whole, htmltext.skeleton(htmltext.parse(source[: len(source) // 2])))
+    assert time.process_time() - began < 20
+
+
+def test_html_by_the_wrapper(spark):
+    """The wrapper decides: pages read with their host's wrapper differ from pages read alone."""
+    rng = random.Random(3)
+    line = lambda n=9: words(rng, n)
+    plain, marked, wanted = [], [], {}
+    for i in range(12):
+        links = "".join(f"<div><a href='/{j}'>{line(2)}</a></div>" for j in range(5))
+        title, first, second = line(), line(40), line(30)
+        plain.append((i, f"http://plain.example/{i}", f"<body class=p{i}><div><p>Our site says hello to you</p></div><div class=x>{links}</div><div class=y><h1>{title}</h1><div><p>{first}<p>{second}</div></div><div>All rights kept</div>"))
+        wanted[i] = "\n".join((title, first, second))
+        short = i % 4 == 0  # an article far shorter than what is beside it
+        body = line(3) if short else f"{first} {second} {first}"
+        marked.append((100 + i, f"http://marked.example/{i}", f"<article><p>{body}</p></article><div>{line(20)}</div>"))
+        wanted[100 + i] = body
+    pages = spark.createDataFrame([*plain, *marked], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.main_text(pages).collect()} == wanted
+    alone = {i: htmltext.extract(source, None) for i, _, source in [*plain, *marked]}
+    assert all(alone[i] != wanted[i] for i in range(12)) and alone[100] != wanted[100]
+    # shares of a host are merged to the same decisions
+    shares = {r.host: r.main for r in htmltext.wrappers(pages).collect()}
+    htmltext.SHARE_PAGES, was = 3, htmltext.SHARE_PAGES
+    try:
+        assert {r.host: r.main for r in htmltext.wrappers(pages).collect()} == shares
+    finally:
+        htmltext.SHARE_PAGES = was
