@@ -9,7 +9,9 @@ reaches 13, and a short item ends wherever the state's suffix chain holds the wh
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from array import array
+from bisect import bisect_left
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,9 @@ WINDOW = 13
 #: A document is contaminated if its hit words are at least this share: 1 of 20.
 SHARE = 20
 #: Benchmark words of one automaton; more are split into several, each broadcast by itself.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
+#: Words of all items together; at some 50 bytes each, what a worker holds is bounded.
+MOST_WORDS = 4_000_000
 
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -34,59 +38,72 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-@dataclass
 class SuffixAutomaton:
-    """All substrings of all items. ``marks[s]`` are items with a whole window at state ``s``
-    (of 13 words); ``short[s]`` are (length, item) of short items that end at ``s``."""
-
-    window: int = WINDOW
-    vocab: dict[bytes, int] = field(default_factory=dict)
-    step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    marks: dict[int, set] = field(default_factory=dict)
-    short: dict[int, list[tuple[int, object]]] = field(default_factory=dict)
-
-    def _state(self, length: int, step: dict[int, int], link: int) -> int:
-        self.length.append(length)
-        self.step.append(step)
-        self.link.append(link)
+    """All substrings of the items, while it is built. A state's first step is kept in two arrays;
+    further steps of branching states in dicts. ``marks[s]`` are numbers of items with a whole
+    window of 13 words at state ``s``, ``short[s]`` are (length, item number) of short items."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.vocab: dict[bytes, int] = {}
+        self.code, self.to, self.link, self.length = (array("i", [x]) for x in (-1, -1, -1, 0))
+        self.more: dict[int, dict[int, int]] = {}
+        self.marks: dict[int, set[int]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
+
+    def _step(self, s: int, c: int) -> int:
+        if self.code[s] == c:
+            return self.to[s]
+        return self.more[s].get(c, -1) if s in self.more else -1
+
+    def _set(self, s: int, c: int, t: int) -> None:
+        if self.code[s] in (-1, c):
+            self.code[s], self.to[s] = c, t
+        else:
+            self.more.setdefault(s, {})[c] = t
+
+    def _state(self, length: int, link: int) -> int:
+        for held, x in ((self.code, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            held.append(x)
         return len(self.length) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
         """A copy of ``q`` for the shorter strings that reach it from ``p`` by ``c``."""
-        copy = self._state(self.length[p] + 1, dict(self.step[q]), self.link[q])
-        while p >= 0 and self.step[p].get(c) == q:
-            self.step[p][c] = copy
+        copy = self._state(self.length[p] + 1, self.link[q])
+        self.code[copy], self.to[copy] = self.code[q], self.to[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
+        while p >= 0 and self._step(p, c) == q:
+            self._set(p, c, copy)
             p = self.link[p]
         self.link[q] = copy
         return copy
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.step[last].get(c)
-        if q is not None:
+        q = self._step(last, c)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        new = self._state(self.length[last] + 1, {}, 0)
+        new = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in self.step[p]:
-            self.step[p][c] = new
+        while p >= 0 and self._step(p, c) < 0:
+            self._set(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.step[p][c]
+            q = self._step(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def build(self, items: list[tuple[object, list[bytes]]]) -> SuffixAutomaton:
-        coded = [(i, [self.vocab.setdefault(w, len(self.vocab)) for w in ws]) for i, ws in items if ws]
-        for _, ids in coded:
+    def build(self, items: list[tuple[object, list[bytes]]]) -> Automaton:
+        coded = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, ws in items]
+        for ids in coded:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        for item, ids in coded:
+        for item, ids in enumerate(coded):
             size = min(self.window, len(ids))
             s = n = 0
             for c in ids:  # the state of the last `size` words, at most
-                s, n = self.step[s][c], n + 1
+                s, n = self._step(s, c), n + 1
                 while self.length[self.link[s]] >= size:
                     s = self.link[s]
                 if n >= size:
@@ -94,37 +111,66 @@ class SuffixAutomaton:
                         self.marks.setdefault(s, set()).add(item)
                     else:
                         self.short.setdefault(s, []).append((size, item))
-        self._chains()
-        return self
+        return self._packed([i for i, _ in items])
+
+    def _packed(self, names: list) -> Automaton:
+        n = len(self.code)
+        first, codes, to = array("i", [0]), array("i"), array("i")
+        for s in range(n):
+            steps = {self.code[s]: self.to[s]} if self.code[s] >= 0 else {}
+            for c, t in sorted((steps | self.more.get(s, {})).items()):
+                codes.append(c)
+                to.append(t)
+            first.append(len(codes))
+        near = array("i", [-1]) * n
+        for s in sorted(range(1, n), key=self.length.__getitem__):
+            near[s] = s if s in self.short else near[self.link[s]]
+        short = {s: sorted(set(x), reverse=True) for s, x in self.short.items()}
+        return Automaton(self.window, self.vocab, first, codes, to, self.link, self.length, near, self.marks, short, names)
 
-    def _chains(self) -> None:
-        """For each state, the short items on its suffix chain, the longest first."""
-        self.chain: list[tuple] = [()] * len(self.link)
-        for s in sorted(range(len(self.link)), key=self.length.__getitem__):
-            if s:
-                own = tuple(sorted(self.short.get(s, ()), key=lambda x: -x[0]))
-                self.chain[s] = own + self.chain[self.link[s]]
+
+@dataclass
+class Automaton:
+    """A finished automaton: steps of state ``s`` are ``codes`` and ``to`` from ``first[s]`` to
+    ``first[s + 1]``, by code; ``near[s]`` is the first state on the suffix chain at which a short
+    item ends, or -1. About 50 bytes a benchmark word."""
+
+    window: int
+    vocab: dict[bytes, int]
+    first: array
+    codes: array
+    to: array
+    link: array
+    length: array
+    near: array
+    marks: dict[int, set[int]]
+    short: dict[int, list[tuple[int, int]]]
+    names: list
 
     def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit spans [start, end) of the document's words, merged, in order; items that occur."""
         spans: list[list[int]] = []
-        found: set = set()
-        code, step, link, length, chain, window = self.vocab.get, self.step, self.link, self.length, self.chain, self.window
+        whole: set[int] = set()  # states of whole windows; their items are united once
+        found: set[int] = set()
+        code, first, codes, to, link, length, near, window = self.vocab.get, self.first, self.codes, self.to, self.link, self.length, self.near, self.window
         s = n = 0
         for i, w in enumerate(ws, 1):
             c = code(w)
             if c is None:
                 s = n = 0
                 continue
-            t = step[s].get(c)
-            while t is None and s:
+            while True:
+                low, high = first[s], first[s + 1]
+                if high - low > 1:
+                    low = bisect_left(codes, c, low, high)
+                if low < high and codes[low] == c:
+                    s, n = to[low], n + 1
+                    break
+                if not s:  # cannot be: every word of the vocabulary starts somewhere
+                    n = 0
+                    break
                 s = link[s]
                 n = length[s]
-                t = step[s].get(c)
-            if t is None:
-                n = 0
-                continue
-            s, n = t, n + 1
             while n > window and length[link[s]] >= window:
                 s = link[s]
                 n = length[s]
@@ -134,12 +180,15 @@ class SuffixAutomaton:
                 at = s
                 while length[link[at]] >= window:
                     at = link[at]
-                found |= self.marks.get(at, set())
-            if chain[s]:
-                for size, item in chain[s]:
+                if at in self.marks:
+                    whole.add(at)
+            at = near[s]
+            while at >= 0:
+                for size, item in self.short[at]:
                     if size <= n:
                         width = max(width, size)
                         found.add(item)
+                at = near[link[at]]
             if width:
                 if spans and spans[-1][1] >= i - width:
                     spans[-1] = [min(spans[-1][0], i - width), i]
@@ -148,21 +197,28 @@ class SuffixAutomaton:
                         spans[-1][0] = min(spans[-1][0], start)
                 else:
                     spans.append([i - width, i])
-        return [(a, b) for a, b in spans], found
+        for at in whole:
+            found |= self.marks[at]
+        return [(a, b) for a, b in spans], {self.names[x] for x in found}
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[SuffixAutomaton]:
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, most_words: int = MOST_WORDS) -> list[Automaton]:
     """Automata over the benchmark's items, ``block_words`` words each at most (an item is not
-    divided). Null ids and texts without words have no window. A benchmark is a fixed test set:
-    it does not grow with the corpus, and its blocks bound what one broadcast holds."""
-    out, items, size = [], [], 0
+    divided). Null ids and texts without words have no window. A benchmark is a fixed test set that
+    does not grow with the corpus; one of over ``most_words`` words is an error, since all blocks
+    are held by every worker: divide it and clean the corpus by one part after the other."""
+    out, items, size, total = [], [], 0, 0
     for row in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator():
         ws = words(row["text"])
+        total += len(ws)
+        if total > most_words:
+            raise ValueError(f"the benchmark has more than {most_words} words")
         if items and size + len(ws) > block_words:
             out.append(SuffixAutomaton(window).build(items))
             items, size = [], 0
-        items.append((row["item_id"], ws))
-        size += len(ws)
+        if ws:
+            items.append((row["item_id"], ws))
+            size += len(ws)
     return [*out, SuffixAutomaton(window).build(items)] if items else out
 
 

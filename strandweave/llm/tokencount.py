@@ -55,42 +55,42 @@ class PieceCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), s))
         self.automaton.make_automaton()
+        self.longest = max(1, *map(len, score))
         self.unknown_score = min(s for _, s in pieces) + UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in score for b in range(256))
         self.split = not any(BLANK in p.lstrip(BLANK) for p in score)
         self.cache: dict[str, int] = {}
 
     def _viterbi(self, text: str) -> int:
-        """Pieces of the best segmentation. Each place keeps (score, start): a path's count
-        follows from its starts, unknown runs included."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        single = [False] * (n + 1)
-        for last, (size, s) in self.automaton.iter(text):
-            ends[last + 1].append((last + 1 - size, s))
-            if size == 1:
-                single[last + 1] = True
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        run = [False] * (n + 1)  # the path's last piece is unknown
+        """Pieces of the best segmentation. The last ``longest`` places are remembered, in a ring,
+        each with its best score, its number of pieces and whether its last piece is unknown."""
+        ring, n = self.longest + 1, len(text)
+        best, count, run = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(text)  # by their ends, and of equal ends the longest first
+        last, (size, s) = next(matches, (n, (0, 0.0)))
         for at in range(1, n + 1):
-            top, start, unknown = None, -1, False
-            for begin, s in sorted(ends[at]):
+            top, start, unknown, single = None, -1, False, False
+            while last == at - 1:
+                begin = (at - size) % ring
                 value = s + best[begin]
                 if top is None or value > top:
-                    top, start, unknown = value, begin, False
-            if not single[at]:
-                value = self.unknown_score + best[at - 1]
+                    top, start = value, begin
+                single = size == 1
+                last, (size, s) = next(matches, (n, (0, 0.0)))
+            if not single:
+                begin = (at - 1) % ring
+                value = self.unknown_score + best[begin]
                 if top is None or value > top:
-                    top, start, unknown = value, at - 1, True
-            best[at], run[at] = top, unknown
+                    top, start, unknown = value, begin, True
+            here = at % ring
             if not unknown:
-                count[at] = count[start] + 1
+                count[here] = count[start] + 1
             elif self.bytes:
-                count[at] = count[start] + len(text[at - 1].encode("utf-8", "surrogatepass"))
+                count[here] = count[start] + len(text[at - 1].encode("utf-8", "surrogatepass"))
             else:
-                count[at] = count[start] + (not run[start])
-        return count[n]
+                count[here] = count[start] + (not run[start])
+            best[here], run[here] = top, unknown
+        return count[n % ring]
 
     def count(self, text: str) -> int:
         """Pieces of a text; blanks become blank marks and one mark goes before the text."""
@@ -102,7 +102,8 @@ class PieceCounter:
         if not self.split:
             return self._viterbi(marked)
         total, cache = 0, self.cache
-        for word in _WORDS.findall(marked):
+        for found in _WORDS.finditer(marked):
+            word = found[0]
             n = cache.get(word)
             if n is None:
                 n = self._viterbi(word)
@@ -123,8 +124,9 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
     """doc_id, n_chars, n_tokens of every whole text, by the pieces and scores of ``model``.
 
     Nulls: a null or empty text has 0 tokens, a null doc_id stays null. Repeated rows give
-    repeated results, an empty table none. Very long texts take time linear in their length (a
-    long text without blanks is one word). Other columns are not read.
+    repeated results, an empty table none. Very long texts take time linear in their length, and
+    memory for a few copies of the text, whether they have blanks or not. Other columns are not
+    read.
     """
 
     def run(batch: pa.RecordBatch) -> dict:

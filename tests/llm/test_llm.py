@@ -585,3 +585,36 @@ def test_html_by_the_wrapper(spark):
         assert {r.host: r.main for r in htmltext.wrappers(pages).collect()} == shares
     finally:
         htmltext.SHARE_PAGES = was
+
+
+def test_token_counts_of_unbroken_text_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1_000_000))
+    ours = tokencount.counter("piece_bpe_32k.model")
+    tracemalloc.start()
+    n = ours.count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= len(text) and peak < 12 * len(text)  # copies of the text itself, 2 bytes a character
+    part = text[:3000]
+    from tokenizers import Tokenizer, models
+
+    whole = Tokenizer(models.Unigram(list(tokencount.vocabulary("piece_bpe_32k.model")), 0, True))
+    assert ours.count(part) == len(whole.encode(tokencount.BLANK + part, add_special_tokens=False).ids)
+
+
+def test_benchmark_blocks_and_bound(spark):
+    rng = random.Random(6)
+    items = [(f"i{j}", words(rng, rng.choice([3, 12, 13, 30]))) for j in range(40)] + [("x", None), (None, "a b c")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = [decontam.words(" ".join(rng.choice(items[:40])[1] for _ in range(3)) + " " + words(rng, 5)) for _ in range(60)]
+    one, many = decontam.automata(bench), decontam.automata(bench, block_words=50)
+    assert len(one) == 1 and len(many) > 5
+    for ws in docs:
+        spans, found = one[0].scan(ws)
+        got = [a.scan(ws) for a in many]
+        assert decontam._merged([g[0] for g in got]) == spans and set().union(*(g[1] for g in got)) == found and found
+    with pytest.raises(ValueError):
+        decontam.automata(bench, most_words=100)
