@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from ..session import small_or_not
+from .common import table, written
 
 #: Words of a k-gram.
 K = 5
@@ -32,7 +33,7 @@ _BASE, _MOD = 1_000_003, 2_147_483_647
 #: Documents side by side in one group of the neighbour search.
 GROUP_ROWS = 1500
 #: Parts of the id range, of equally many documents each, that are divided into groups.
-SEGMENTS = 32
+SEGMENTS = 512
 
 
 def _kgrams(words: Column, k: int = K) -> Column:
@@ -141,44 +142,60 @@ def fingerprint(docs: DataFrame, window: int = W) -> DataFrame:
     return docs.withColumn("kept", winnow(F.col("text"), window)).withColumn("fingerprint", as_text(F.col("kept")))
 
 
-def _groups(docs: DataFrame) -> Column:
-    """A group number that grows with doc_id, for about GROUP_ROWS documents each: the id range
-    is cut at quantiles into SEGMENTS, each of which is cut into equal steps."""
+def _edges(docs: DataFrame) -> tuple[list[int], int]:
+    """The ids at which segments begin, and one beyond the highest; steps that each is cut into.
+    Segments have about equally many documents; an id that fills several is one of its own."""
     n, low, high, knots = docs.agg(
         F.count("doc_id"), F.min("doc_id"), F.max("doc_id"),
-        F.percentile_approx("doc_id", [i / SEGMENTS for i in range(1, SEGMENTS)], 1000),
+        F.percentile_approx("doc_id", [i / SEGMENTS for i in range(1, SEGMENTS)], 20 * SEGMENTS),
     ).first()
     if not n:
-        return F.lit(0).cast("bigint")
-    edges = sorted({low, high + 1, *knots})
-    steps = max(1, n // (GROUP_ROWS * SEGMENTS))
-    group = F.lit(None).cast("bigint")
-    for i, (a, b) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
-        inside = F.floor((F.col("doc_id") - a).cast("double") * (steps / (b - a)))
-        group = F.when(F.col("doc_id") < b, F.least(inside, F.lit(steps - 1)) + i * steps).otherwise(group)
-    return F.coalesce(group, F.lit(-1)).cast("bigint")  # null ids come last in descending order
+        return [0, 1], 1
+    many = [a + 1 for a, b in zip(knots, knots[1:], strict=False) if a == b]
+    return sorted({low, high + 1, *knots, *many}), max(1, n // (GROUP_ROWS * SEGMENTS))
+
+
+def _groups(doc_id: Column, digest: Column, edges: list[int], steps: int) -> Column:
+    """A group number, greater for rows that come earlier (descending doc_id, ascending digest of
+    the text): segments are cut into equal steps of ids, a segment of one id, and the rows without
+    one, by the digest."""
+    wide = 64
+    held, coarse = F.lit(edges[:-1]), F.lit(edges[:-1:wide])
+    count = lambda ids: F.size(F.filter(ids, lambda x: x <= doc_id))
+    first = (count(coarse) - 1) * wide
+    segment = first + count(F.slice(held, first + 1, F.lit(wide)))  # from 1
+    low, high = F.element_at(held, segment), F.element_at(F.lit(edges[1:]), segment)
+    inside = F.floor((doc_id - low).cast("double") / (high - low) * steps)
+    step = segment.cast("bigint") * steps + F.least(inside, F.lit(steps - 1))
+    later = F.lit(4095) - F.conv(F.substring(digest, 1, 3), 16, 10).cast("bigint")
+    return F.when(doc_id.isNull(), later).otherwise((step + 1) * 4096 + F.when(high - low == 1, later).otherwise(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``group``, with a copy of each group's neighbour: in every group, rows in
-    descending doc_id are followed by the first row of the next lower group (``ghost`` true).
-
-    Only one shuffle of texts is needed then, by group; the copies are one row per group.
+    """doc_id, text, digest and ``group``, with a copy of each group's neighbour: in every group,
+    rows in descending doc_id are followed by the first row of the next lower group (``ghost``
+    true). Only one shuffle of texts is needed then, by group; the copies are one row per group.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("group", _groups(docs))
-    heads = rows.groupBy("group").agg(F.max("doc_id").alias("doc_id"))
-    order = Window.orderBy(F.desc("group"))
-    first = F.first("group").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last("group").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    # the group that a head is copied to: the next higher one; the highest head goes to the lowest
-    to = F.when(F.col("group") == first, last).otherwise(F.lag("group").over(order))
-    heads = heads.select("group", F.col("doc_id").alias("head"), to.alias("to"))
-    here = rows.alias("r").join(
-        heads.alias("h"), (F.col("r.group") == F.col("h.group")) & F.col("r.doc_id").eqNullSafe(F.col("h.head"))
-    )
-    one = F.struct(F.md5(F.col("r.text").cast("binary")), F.col("r.text").alias("text"))
-    ghosts = here.groupBy("h.to", "h.head").agg(F.min(one).alias("one"))
-    ghosts = ghosts.select(F.col("head").alias("doc_id"), "one.text", F.col("to").alias("group"), F.lit(True).alias("ghost"))
+    edges, steps = _edges(docs)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
+    rows = rows.withColumn("group", _groups(F.col("doc_id"), F.col("digest"), edges, steps))
+    # a group's first row has the greatest id and of this the least digest
+    first = F.min(F.struct((-F.col("doc_id")).alias("neg"), "digest"))
+    heads = written(rows.groupBy("group").agg(first.alias("x")).select("group", F.floor(F.col("group") / 2**24).alias("range"), "x.*"))
+    # the group that a head is copied to is the next higher one: in its range of groups, else the
+    # lowest of the next range; the very first head goes to the very last group
+    ranges = heads.groupBy("range").agg(F.min("group").alias("lowest"))
+    down, whole = Window.orderBy(F.desc("range")), Window.partitionBy()
+    above = F.coalesce(F.lag("lowest").over(down), F.min("lowest").over(whole))
+    above = small_or_not(written(ranges.select("range", above.alias("above"))))
+    inside = F.lag("group").over(Window.partitionBy("range").orderBy(F.desc("group")))
+    to = heads.withColumn("inside", inside).join(above, "range").select("group", "neg", "digest", F.coalesce("inside", "above").alias("to"))
+    to = small_or_not(written(to)).alias("h")
+    same = (F.col("r.group") == F.col("h.group")) & (-F.col("r.doc_id")).eqNullSafe(F.col("h.neg")) & (F.col("r.digest") == F.col("h.digest"))
+    here = rows.alias("r").join(to, same).select("h.to", "r.doc_id", "r.text", "r.digest")
+    ghosts = here.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("digest").alias("digest"))
+    ghosts = ghosts.select("doc_id", "text", "digest", F.col("to").alias("group"), F.lit(True).alias("ghost"))
     return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
@@ -186,7 +203,8 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and what they have in common.
 
     Nulls: a null text is empty; rows with a null doc_id come after all others. Repeated ids go
-    in the order of their texts' md5. With one document the next one is itself. Two empty
+    in the order of their texts' md5 (equal rows lie in one group). Very long texts are read whole.
+    An empty table gives no rows. With one document the next one is itself. Two empty
     fingerprints have likeness 1, an empty and a filled one 0.
 
     ``char_fingerprint`` and ``edited_char_fingerprint`` are filled where words are too coarse
@@ -194,7 +212,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``near_edited``. It is above 0 for every text.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = Window.partitionBy("group").orderBy("ghost", F.desc("doc_id"), F.md5(F.col("text").cast("binary")))
+    order = Window.partitionBy("group").orderBy("ghost", F.desc("doc_id"), "digest")
     near = with_next(docs).withColumn("next_text", F.lead("text").over(order)).withColumn("kept", winnow(F.col("text")))
     near = near.withColumn("next_kept", F.lead("kept").over(order)).where(~F.col("ghost"))
     n = F.char_length("text")

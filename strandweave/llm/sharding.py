@@ -3,7 +3,8 @@
 Every record key scores every shard with ``-weight / ln(u)``, ``u`` being a uniform number that
 only the key and the shard decide; the best score takes the record. A shard that is added can
 only win records for itself, a shard that is removed only gives its own away, and weights set
-the expected shares. Everything is a DataFrame expression; text is read once, for its checksum.
+the expected shares. Everything is a DataFrame expression; text is read once, for its checksum,
+and scored once: slots are counted on what is written then.
 """
 
 from __future__ import annotations
@@ -12,24 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from ..session import small_or_not
+from .common import table, written
 
 #: Shards of the registered query.
 SHARDS = 24
-#: Leading hex digits of the key's digest that cut a shard into slot groups (16**3 per shard).
-GROUP_DIGITS = 3
+#: Slot groups per shard.
+GROUPS = 4096
 
 
-def _uniform(key: Column, shard: int) -> Column:
-    digits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}")).cast("binary")), 1, 13), 16, 10)
-    return (digits.cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+def _uniform(digest: Column, shard: int) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(digest, F.lit(shard)), 11)
+    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
 
 
-def scores(key: Column, weights: list[float], first: int = 0) -> list[Column]:
+def scores(digest: Column, weights: list[float], first: int = 0) -> list[Column]:
     """One struct (score, negated shard) for each shard; the greatest struct wins, the lowest
-    shard on a tie. ``key`` is a string column without nulls."""
+    shard on a tie. ``digest`` is the key's 64-bit hash."""
     return [
-        F.struct((F.lit(-float(w)) / F.ln(_uniform(key, i))).alias("score"), F.lit(-i).alias("neg"))
+        F.struct((F.lit(-float(w)) / F.ln(_uniform(digest, i))).alias("score"), F.lit(-i).alias("neg"))
         for i, w in enumerate(weights, first)
     ]
 
@@ -43,44 +45,42 @@ def rendezvous(df: DataFrame, key: str, weights: list[float], grow: float | None
     """
     if not weights or min(weights) <= 0 or (grow is not None and grow <= 0):
         raise ValueError("weights must be positive and at least one shard is needed")
-    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    best = F.array_max(F.array(*scores(text, weights)))
-    more = scores(text, [grow], len(weights))[0] if grow is not None else None
-    out = df.withColumn("__best", best)
-    if more is not None:
-        out = out.withColumn("__grown", F.greatest(F.col("__best"), more))
-        out = out.withColumn("grown_shard", (-F.col("__grown.neg")).cast("int"))
-    return out.withColumn("shard", (-F.col("__best.neg")).cast("int")).drop("__best", "__grown")
-
-
-def slots(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
-    """Adds ``slot``: places in each shard, gapless from 0, by the key's digest.
-
-    No task holds a whole shard: rows are ranked inside groups of equal leading digits of the
-    digest, and the groups' sizes, summed beforehand from the keys alone, give each group's
-    first slot. ``ties`` order rows of the same key, so a recomputed task ranks alike.
+    own = [next(n for n in (f"{x}{'_' * i}" for i in range(len(df.columns) + 1)) if n not in df.columns) for x in ("digest", "best", "more")]
+    digest, best, more = own
+    out = df.withColumn(digest, F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    out = out.withColumn(best, F.array_max(F.array(*scores(F.col(digest), weights))))
+    if grow is not None:
+        out = out.withColumn(more, F.greatest(F.col(best), scores(F.col(digest), [grow], len(weights))[0]))
+        out = out.withColumn("grown_shard", (-F.col(f"{more}.neg")).cast("int"))
+    return out.withColumn("shard", (-F.col(f"{best}.neg")).cast("int")).drop(*own)
+
+
+def slots(df: DataFrame) -> DataFrame:
+    """Adds ``slot``: places in each shard, gapless from 0. ``df`` is evaluated once and written.
+
+    No task holds a whole shard: rows are dealt into GROUPS groups per shard by a hash of their
+    place in the table, whatever their keys, ranked inside their group, and the groups' sizes,
+    summed beforehand, give each group's first slot. Repeated keys and rows, null ones too, thus
+    make no large group. Columns of ``df`` keep their names; ``slot`` is replaced.
     """
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
-    keyed = df.withColumn("__digest", digest).withColumn("__group", F.substring("__digest", 1, GROUP_DIGITS))
-    sizes = keyed.groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(
-        "shard", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
-    )
-    rank = F.row_number().over(Window.partitionBy("shard", "__group").orderBy("__digest", key, *ties))
-    ranked = keyed.withColumn("__rank", rank)
-    return (
-        ranked.join(first, ["shard", "__group"])
-        .withColumn("slot", (F.col("__first") + F.col("__rank") - 1).cast("bigint"))
-        .drop("__digest", "__group", "__rank", "__first")
-    )
+    place = F.monotonically_increasing_id()
+    keyed = df.select("shard", F.struct(*df.columns).alias("row"), place.alias("place"))
+    keyed = written(keyed.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(GROUPS))))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    first = small_or_not(written(sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))))
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("place")))
+    slot = (F.col("first") + F.col("rank") - 1).cast("bigint")
+    return ranked.join(first, ["shard", "part"]).select("row.*", slot.alias("slot_")).drop("slot").withColumnRenamed("slot_", "slot")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on shards 0 to 23 by the law ``key``: doc_id and the shard count decide.
 
     Nulls: a null text has size 8 and checksum 0; a null doc_id is placed as key ``null``.
-    Repeated rows are all placed, each in a slot of its own. Extra columns are not read.
+    Repeated rows are all placed, each in a slot of its own, on the shard of their key. Very long
+    texts are measured where they are read and do not move. Ties in score go to the lowest shard.
+    An empty table gives no rows. Extra columns are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -88,6 +88,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(data) + 8).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32")
     )
     placed = rendezvous(sized, "doc_id", [1.0] * SHARDS, grow=1.0)
-    return slots(placed, "doc_id", ["size", "text_crc32"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
-    )
+    return slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

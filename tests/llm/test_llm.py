@@ -420,7 +420,7 @@ def test_sharding(spark):
     texts = [*ODD * 20, None]
     docs = documents(spark, texts).withColumnRenamed("text", "body")
     placed = sharding.rendezvous(docs, "doc_id", [1.0] * 5, grow=1.0)
-    rows = sharding.slots(placed, "doc_id", ["n_chars"]).collect()
+    rows = sharding.slots(placed).collect()
     for s in range(5):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert all(r.grown_shard in (r.shard, 5) for r in rows) and any(r.grown_shard == 5 for r in rows)
@@ -618,3 +618,55 @@ def test_benchmark_blocks_and_bound(spark):
         assert decontam._merged([g[0] for g in got]) == spans and set().union(*(g[1] for g in got)) == found and found
     with pytest.raises(ValueError):
         decontam.automata(bench, most_words=100)
+
+
+def brute_shard(key, weights):
+    import struct
+
+    import xxhash
+
+    digest = xxhash.xxh64_digest(str("null" if key is None else key).encode(), seed=42)[::-1]
+    best = []
+    for i, w in enumerate(weights):
+        seed = xxhash.xxh64_intdigest(digest, seed=42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", i), seed=seed) >> 11) + 0.5) / 2**53
+        best.append((-w / np.log(u), -i))
+    return -max(best)[1]
+
+
+def test_sharding_winner_and_query(spark, tmp_path):
+    weights = [1.0, 2.5, 0.5, 1.0]
+    keys = [*range(200), None]
+    rows = sharding.rendezvous(spark.createDataFrame([(k,) for k in keys], "k long"), "k", weights).collect()
+    assert {r.k: r.shard for r in rows} == {k: brute_shard(k, weights) for k in keys}
+    texts = [*ODD, *(words(random.Random(1), 9) for _ in range(80))]
+    own = [(i, t) for i, t in enumerate(texts)] + [(5, "same")] * 40 + [(None, None)] * 30
+    spark.createDataFrame(own, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    size = lambda t: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=str) == sorted(((i, *size(t)) for i, t in own), key=str)
+    assert all(r.shard == brute_shard(r.doc_id, [1.0] * 24) and r.grown_shard == brute_shard(r.doc_id, [1.0] * 25) for r in got)
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert sharding.op10_sharding(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [-1, 10**6])
+def test_fingerprint_neighbours_of_odd_ids(spark, tmp_path, monkeypatch, broadcast):
+    """Clustered, repeated and missing ids, in many small groups, against a sort."""
+    monkeypatch.setattr(fingerprint, "SEGMENTS", 70)
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 1)
+    monkeypatch.setattr("strandweave.session.BROADCAST_ROWS", broadcast)
+    rng = random.Random(2)
+    ids = [*range(40), *(10**12 + i * i for i in range(60)), *[777] * 80, *[None] * 60, -5, -(10**9)]
+    own = [(i, words(rng, rng.randint(0, 12))) for i in ids]
+    spark.createDataFrame(own, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    order = sorted(own, key=lambda r: (r[0] is None, -(r[0] or 0), md5(r[1])))
+    wanted = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        wanted.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = fingerprint.op7_fingerprint(spark, str(tmp_path)).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
