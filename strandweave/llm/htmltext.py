@@ -27,14 +27,15 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
-from functools import lru_cache
+from functools import lru_cache, reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_or_not
 from .common import map_arrow, short_batches, table, written
 
 #: Distinct pages a host must have before a text common to all of them counts as boilerplate.
@@ -45,8 +46,8 @@ MENU_PERCENT, MENU_LINKS = 90, 3
 #: Bytes of decisions that are broadcast; beyond, pages and decisions are joined by salted host.
 BROADCAST_BYTES = 16 << 20
 SALT = 32
-#: Pages of a table for each share that a host's pages are merged in; shares merged by one task.
-SHARE_PAGES, FAN_IN = 20_000, 64
+#: Pages of a host that a task merges, about: more are merged in shares; shares that a task merges.
+SHARE_PAGES, FAN_IN = 500, 64
 #: Open elements at a time; deeper ones are read as children of the last of these.
 DEPTH = 256
 
@@ -461,64 +462,70 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-_PARTS = "host string, share int, digest bigint, pages bigint, seen array<bigint>, shown string"
+_PARTS = "host string, shares bigint, share bigint, digest bigint, pages bigint, seen array<bigint>, shown string"
 
 
-def _merged_shares(rows: DataFrame, shares: int) -> DataFrame:
-    """``rows`` (_PARTS) of each host, dealt into so many shares, merged in the order of their
+def _merged_shares(rows: DataFrame) -> DataFrame:
+    """``rows`` (_PARTS) of each host, dealt into ``shares`` shares, merged in the order of their
     digests, so that the result depends neither on the order nor on the layout of the rows. Rows
     stream through in that order, in the memory of one wrapper. ``seen`` are the least digests of
     distinct pages, BOILERPLATE_PAGES of them at most; a repeated page is merged once."""
+    names, kinds = zip(*(x.split() for x in _PARTS.split(", ")), strict=True)
+    types = [pa.string() if k == "string" else pa.list_(pa.int64()) if k.startswith("array") else pa.int64() for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last, pages, seen, whole = None, None, 0, set(), None
 
         def row() -> pa.RecordBatch:
             text = json.dumps(whole)
-            cols = ([key[0]], [key[1]], [xxhash.xxh64_intdigest(text) - 2**63], [pages], [sorted(seen)], [text])
-            types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
+            cols = (*([x] for x in key), [xxhash.xxh64_intdigest(text) - 2**63], [pages], [sorted(seen)], [text])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for batch in batches:
-            for host, share, digest, n, own, shown in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if key == (host, share) and digest == last:
+            for *own, digest, n, some, shown in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
+                if key == own and digest == last:
                     continue
-                if key == (host, share):
+                if key == own:
                     pages, whole = pages + n, _merged(whole, json.loads(shown))
-                    seen = set(sorted(seen.union(own))[:BOILERPLATE_PAGES])
+                    seen = set(sorted(seen.union(some))[:BOILERPLATE_PAGES])
                 else:
                     if key is not None:
                         yield row()
-                    key, pages, seen, whole = (host, share), n, set(own), json.loads(shown)
+                    key, pages, seen, whole = own, n, set(some), json.loads(shown)
                 last = digest
         if key is not None:
             yield row()
 
     short_batches(rows.sparkSession)
-    dealt = rows.withColumn("share", F.pmod(F.xxhash64("digest"), F.lit(shares)).cast("int")).repartition("host", "share")
-    return dealt.sortWithinPartitions("host", "share", "digest").mapInArrow(run, _PARTS)
+    share = F.pmod(F.xxhash64("digest"), F.col("shares"))
+    return rows.withColumn("share", share).repartition("host", "share").sortWithinPartitions("host", "share", "digest").mapInArrow(run, _PARTS)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, n_pages (distinct ones), wrapper (regular expression) and main (decision, JSON) of every
-    host, from all its pages."""
+    host, from all its pages. Hosts of many pages are merged in shares, and the shares in turn."""
 
     def skeletons(batch: pa.RecordBatch) -> dict:
         rows = {}
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+        for host, shares, page in zip(*(batch.column(c).to_pylist() for c in ("host", "shares")), batch.column("html"), strict=True):
             shown = json.dumps(skeleton(parse(page.as_py())))
             digest = xxhash.xxh64_intdigest(shown) - 2**63
-            rows[host, digest] = (host, 0, digest, 1, [digest], shown)
+            rows[host, digest] = (host, shares, 0, digest, 1, [digest], shown)
         return dict(zip((x.split()[0] for x in _PARTS.split(", ")), zip(*rows.values(), strict=True), strict=True))
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("html is not null and html <> ''")
-    shares = max(1, -(-pages.count() // SHARE_PAGES))
-    parts = map_arrow(rows, skeletons, _PARTS)
-    while True:
-        parts = _merged_shares(parts, shares)
-        if shares == 1:
-            break
-        shares = -(-shares // FAN_IN)
+    shares = F.ceil(F.count(F.lit(1)) / SHARE_PAGES).alias("shares")
+    many = written(pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(shares).where("shares > 1"))
+    most = many.agg(F.max("shares")).first()[0] or 1
+    rows = rows.join(small_or_not(many), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("bigint")))
+    parts, done = map_arrow(rows, skeletons, _PARTS), []
+    while most > 1:
+        merged = written(_merged_shares(parts))
+        done.append(merged.where("shares = 1"))
+        parts = merged.where("shares > 1").withColumn("shares", F.ceil(F.col("shares") / FAN_IN))
+        most = -(-most // FAN_IN)
+    done.append(_merged_shares(parts))
+    parts = reduce(DataFrame.unionByName, done)
 
     def infer(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"host": batch.column("host").to_pylist(), "n_pages": batch.column("pages").to_pylist(), "wrapper": [], "main": []}
