@@ -104,6 +104,37 @@ def newick_label(seq_id: Column, filename: Column, name: Column, length: Column)
     return F.concat_ws("__", seq_id.cast("string"), filename, name, F.concat(length.cast("string"), F.lit("_bp")))
 
 
+def contig_label() -> Column:
+    """Tree label of a contig row (seq_id, filename, contig_header, length)."""
+    return newick_label(F.col("seq_id"), F.col("filename"), first_token(F.col("contig_header")), F.col("length"))
+
+
+def contig_text(filename: Column, header: Column, length: Column) -> Column:
+    """A contig for people: file, name, length, and in brackets what its header says beyond the
+    default."""
+    weight = lambda name: F.when(directive(header, f"{name}_weight") != 1, F.concat(F.lit(f"{name} weight = "), directive(header, f"{name}_weight")))
+    extras = F.concat_ws(", ", F.when(is_trusted(header), "trusted"), F.when(is_ignored(header), "ignored"), weight("cluster"), weight("consensus"))
+    shown = F.concat(filename, F.lit(" "), first_token(header), F.lit(" ("), length.cast("string"), F.lit(" bp)"))
+    return F.when(extras == "", shown).otherwise(F.concat(shown, F.lit(" ["), extras, F.lit("]")))
+
+
+def with_attribute(header: Column, attribute: str, needs: str | None = None) -> Column:
+    """A header with an attribute added, unless it is there already or the text ``needs`` is not."""
+    add = ~header.contains(attribute)
+    if needs is not None:
+        add = add & header.contains(needs)
+    return F.when(add, F.concat(header, F.lit(f" {attribute}"))).otherwise(header)
+
+
+def rotated(seq: Column, header: Column, seed: int = 0) -> Column:
+    """A circular contig (``circular=true`` in any case) begun elsewhere, at a place that seed and
+    header decide; others as they are."""
+    n = F.length(seq)
+    at = (F.pmod(F.xxhash64(F.lit(seed), header), F.greatest(n - 1, F.lit(1))) + 1).cast("int")
+    turned = F.concat(F.substr(seq, at + 1, n - at), F.substr(seq, F.lit(1), at))
+    return F.when(F.lower(header).contains("circular=true") & (n > 1), turned).otherwise(seq)
+
+
 def rounded_div(a: Column, b: int) -> Column:
     """Whole-number quotient of non-negative numbers, halves up."""
     return F.floor((a + b // 2) / b).cast("bigint")
@@ -118,6 +149,11 @@ def parse_genome_size(text: Column) -> Column:
     return F.round(number * factor).cast("bigint")
 
 
+def fixed(x: Column, decimals: int) -> Column:
+    """A number with so many decimals, ties to the even digit."""
+    return F.format_string(f"%.{decimals}f", F.bround(x.cast("double"), decimals))
+
+
 def format_float(x: float) -> str:
     """Up to six decimals without trailing zeros."""
     return f"{x:.6f}".rstrip("0").rstrip(".")

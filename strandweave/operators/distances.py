@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
 
 def containment(members: DataFrame, keys: list[str], seq: str, unitig: str, length: str) -> DataFrame:
     """keys, a, b, dist: 1 - length(shared unitigs) / length(unitigs of a), over *sets* of
     unitigs. Rows exist for pairs that share a unitig, a = b included; any other pair has
-    distance 1. The join runs over unitigs, so its size is that of the overlaps."""
-    sets = members.groupBy(*keys, F.col(seq).alias("s"), F.col(unitig).alias("u")).agg(F.max(length).alias("w"))
+    distance 1. The join runs over unitigs, so its size is that of the overlaps; the sets are written
+    first, so that adaptive execution can split a unitig that most sequences have."""
+    sets = written(members.groupBy(*keys, F.col(seq).alias("s"), F.col(unitig).alias("u")).agg(F.max(length).alias("w")))
     totals = sets.groupBy(*keys, F.col("s").alias("a")).agg(F.sum("w").alias("t"))
     left, right = sets.select(*keys, F.col("s").alias("a"), "u", "w"), sets.select(*keys, F.col("s").alias("b"), "u")
     shared = left.join(right, [*keys, "u"]).groupBy(*keys, "a", "b").agg(F.sum("w").alias("ab"))
@@ -25,45 +27,46 @@ def symmetric(distances: DataFrame, keys: list[str]) -> DataFrame:
     return distances.join(other, [*keys, "a", "b"]).select(*keys, "a", "b", F.greatest("dist", "back").alias("dist"))
 
 
-def contained_clusters(distances: DataFrame, clusters: DataFrame, cutoff: float) -> DataFrame:
-    """inner, outer, share: pairs of clusters of which more than half of all member pairs have
+def contained_clusters(distances: DataFrame, clusters: DataFrame, cutoff: float, keys: list[str] = ()) -> DataFrame:
+    """keys, inner, outer, share: pairs of clusters of which more than half of all member pairs have
     d(inner, outer) < d(outer, inner) and d(inner, outer) < cutoff. Pairs without a shared unitig
     have distance 1 and never count, so stored distances are enough."""
-    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    c = lambda side: clusters.select(F.col("seq").alias(side), F.col("cluster").alias(f"c{side}"))
-    back = distances.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("dist").alias("back"))
-    both = distances.join(back, ["a", "b"]).join(c("a"), "a").join(c("b"), "b").where("ca <> cb")
+    size = clusters.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    c = lambda side: clusters.select(*keys, F.col("seq").alias(side), F.col("cluster").alias(f"c{side}"))
+    back = distances.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("dist").alias("back"))
+    both = distances.join(back, [*keys, "a", "b"]).join(c("a"), [*keys, "a"]).join(c("b"), [*keys, "b"]).where("ca <> cb")
     hits = both.where((F.col("dist") < F.col("back")) & (F.col("dist") < cutoff))
-    hits = hits.groupBy(F.col("ca").alias("inner"), F.col("cb").alias("outer")).agg(F.count(F.lit(1)).alias("k"))
-    n = lambda name: size.select(F.col("cluster").alias(name), F.col("n").alias(f"n_{name}"))
+    hits = hits.groupBy(*keys, F.col("ca").alias("inner"), F.col("cb").alias("outer")).agg(F.count(F.lit(1)).alias("k"))
+    n = lambda name: size.select(*keys, F.col("cluster").alias(name), F.col("n").alias(f"n_{name}"))
     share = F.col("k") / (F.col("n_inner") * F.col("n_outer"))
-    return hits.join(n("inner"), "inner").join(n("outer"), "outer").select("inner", "outer", share.alias("share")).where("share > 0.5")
+    rows = hits.join(n("inner"), [*keys, "inner"]).join(n("outer"), [*keys, "outer"])
+    return rows.select(*keys, "inner", "outer", share.alias("share")).where("share > 0.5")
 
 
-def assembly_counts(members: DataFrame) -> DataFrame:
-    """cluster, n_assemblies (distinct files), weighted (sum over files of the greatest weight),
+def assembly_counts(members: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, cluster, n_assemblies (distinct files), weighted (sum over files of the greatest weight),
     trusted (any). ``members`` has cluster, filename, weight, trusted."""
-    per_file = members.groupBy("cluster", "filename").agg(F.max("weight").alias("w"), F.max("trusted").alias("t"))
-    return per_file.groupBy("cluster").agg(
+    per_file = members.groupBy(*keys, "cluster", "filename").agg(F.max("weight").alias("w"), F.max("trusted").alias("t"))
+    return per_file.groupBy(*keys, "cluster").agg(
         F.count(F.lit(1)).alias("n_assemblies"), F.sum("w").alias("weighted"), F.max("t").alias("trusted")
     )
 
 
-def balance(members: DataFrame) -> DataFrame:
-    """One row, ``balance``: per cluster the share of all files that occur in it exactly once,
-    averaged with the clusters' sizes as weights. ``members`` has cluster and filename."""
-    per_file = members.groupBy("cluster", "filename").agg(F.count(F.lit(1)).alias("n"))
-    files = members.agg(F.count_distinct("filename").alias("k"))
-    per = per_file.groupBy("cluster").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum("n").alias("w"))
-    rows = per.join(F.broadcast(files))  # one row
-    return rows.agg((F.sum(F.col("once") / F.col("k") * F.col("w")) / F.sum("w")).alias("balance"))
+def balance(members: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, ``balance``: per cluster the share of all files of the sample that occur in it exactly
+    once, averaged with the clusters' sizes as weights. ``members`` has cluster and filename."""
+    per_file = members.groupBy(*keys, "cluster", "filename").agg(F.count(F.lit(1)).alias("n"))
+    files = members.groupBy(*keys).agg(F.count_distinct("filename").alias("k"))
+    per = per_file.groupBy(*keys, "cluster").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum("n").alias("w"))
+    rows = per.join(files, list(keys)) if keys else per.join(F.broadcast(files))  # one row
+    return rows.groupBy(*keys).agg((F.sum(F.col("once") / F.col("k") * F.col("w")) / F.sum("w")).alias("balance"))
 
 
-def tightness(clusters: DataFrame) -> DataFrame:
-    """One row, ``tightness``: mean of 1 - sqrt(dist) of clusters that pass, by size; 0 without
-    any. ``clusters`` has dist, size, passed."""
+def tightness(clusters: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, ``tightness``: mean of 1 - sqrt(dist) of clusters that pass, by size; 0 without any.
+    ``clusters`` has dist, size, passed."""
     value = F.sum(F.when(F.col("passed"), (1 - F.sqrt("dist")) * F.col("size"))) / F.sum(F.when(F.col("passed"), F.col("size")))
-    return clusters.agg(F.coalesce(value, F.lit(0.0)).alias("tightness"))
+    return clusters.groupBy(*keys).agg(F.coalesce(value, F.lit(0.0)).alias("tightness"))
 
 
 def ordered_number(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:

@@ -49,14 +49,14 @@ def read_hits(read_kmers: DataFrame, assembly_kmers: DataFrame, k: int) -> DataF
     return rows.withColumn("span_bases", F.when(F.col("used"), F.col("span_kmers") + (k - 1)).otherwise(0).cast("bigint")).withColumn("rejected", ~F.col("used"))
 
 
-def read_totals(hits: DataFrame) -> DataFrame:
-    """One row: reads, rejected_reads, hits, span_kmers, span_bases; an error without any hit
-    read is up to the caller."""
-    own = lambda c: F.coalesce(F.sum(F.when(F.col("used"), F.col(c)).otherwise(0)), F.lit(0)).cast("bigint").alias(c)
-    return hits.agg(
+def read_totals(hits: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, reads, rejected_reads, hits, span_kmers, span_bases, and bases of the reads that count if
+    ``hits`` has their length; an error without any hit read is up to the caller."""
+    own = lambda c, name: F.coalesce(F.sum(F.when(F.col("used"), F.col(c)).otherwise(0)), F.lit(0)).cast("bigint").alias(name)
+    return hits.groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("used").cast("bigint")), F.lit(0)).alias("reads"),
         F.coalesce(F.sum(F.col("rejected").cast("bigint")), F.lit(0)).alias("rejected_reads"),
-        own("hits"), own("span_kmers"), own("span_bases"),
+        *(own(c, n) for c, n in (("hits", "hits"), ("span_kmers", "span_kmers"), ("span_bases", "span_bases"), ("length", "bases")) if c in hits.columns),
     )
 
 
@@ -87,14 +87,14 @@ def copy_numbers(contigs: DataFrame, keys: list[str]) -> DataFrame:
     return contigs.join(longest, keys).withColumn("copies", F.try_divide(F.col("depth"), F.col("__d"))).drop("__d")
 
 
+def chosen_assembly(runs: DataFrame, keys: list[str], size: str, genome_size: str, low: float, high: float) -> DataFrame:
+    """keys, assembler: of runs (assembler, place, resolved) the first in the order of ``place`` that is
+    resolved and whose size is ``low`` to ``high`` times the genome's; null without one."""
+    ratio = F.try_divide(F.col(size), F.col(genome_size))
+    good = F.col("resolved") & ratio.between(low, high)
+    return runs.groupBy(*keys).agg(F.min_by("assembler", F.when(good, F.col("place"))).alias("assembler"))
+
+
 def canonical_read_kmers(exploded: DataFrame) -> DataFrame:
     """Rows with unambiguous k-mers, each in its canonical form."""
     return exploded.where(F.col("kmer").rlike("^[ACGT]+$")).withColumn("kmer", canonical(F.col("kmer")))
-
-
-def dot_pixels(pairs: DataFrame, bp_per_pixel: Column) -> DataFrame:
-    """x, y, colour: distinct pixels of matching k-mer positions (xa, yb, forward); where both
-    strands meet on a pixel the forward colour wins. One pixel is one group, so a dense plot is
-    reduced before the shuffle."""
-    x, y = F.round(F.col("xa") / bp_per_pixel).cast("bigint"), F.round(F.col("yb") / bp_per_pixel).cast("bigint")
-    return pairs.groupBy(x.alias("x"), y.alias("y")).agg(F.when(F.max("forward"), "forward").otherwise("reverse").alias("colour"))

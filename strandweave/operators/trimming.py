@@ -25,12 +25,12 @@ class Piece:
 def overlap_alignment(a: list[int], b: list[int], weight: dict[int, int], min_identity: float, max_unitigs: int, skip_diagonal: bool) -> list[Piece]:
     """The beginning of ``a`` aligned with the end of ``b``; empty without a good overlap.
 
-    The first k unitigs of a are rows, the last k of b columns, k up to ``max_unitigs`` (0: all).
+    The first k unitigs of a are rows, the last k of b columns, k up to ``max_unitigs`` (0: no alignment).
     A match scores the unitig's weight, a mismatch loses the mean of both, a gap its weight. With
     ``skip_diagonal`` no unitig is aligned with itself (a and b being one path). The alignment
     ends where the last column scores best and must begin with the first row.
     """
-    k = min(len(a), len(b), max_unitigs or max(len(a), len(b)))
+    k = min(len(a), len(b), max_unitigs)
     if not k:
         return []
     wa = np.array([weight[abs(x)] for x in a[:k]], float)
@@ -63,8 +63,6 @@ def overlap_alignment(a: list[int], b: list[int], weight: dict[int, int], min_id
     if i > 0:
         return []
     out.reverse()
-    while out and not out[0].matched:
-        out.pop(0)
     matched = sum(weight[abs(p.a)] for p in out if p.matched)
     sides = sum(weight[abs(p.a)] for p in out if p.a is not None) + sum(weight[abs(p.b)] for p in out if p.b is not None)
     return out if sides and matched / (sides / 2) >= min_identity else []

@@ -7,6 +7,7 @@ changes a compacted graph step by step runs on one row per graph, in Python, one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import floor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from ..functions import stats
 from ..operators import distances as D
 from ..operators import kmers as K
 from ..operators.compaction import UnitigGraph, compact
+from ..operators.clustering import MOST_CONTIGS, whole_median
+from ..operators.resolving import bridge_graph
 from ..operators.resolving import resolve as resolve_graph
 from ..operators.seqgraph import SeqGraph
 from ..operators.trees import upgma
@@ -45,8 +48,9 @@ def graph_rows(unitigs: DataFrame, links: DataFrame, steps: DataFrame, keys: lis
     return rows.select(*keys, "unitigs", empty("links", "array<struct<src: int, dst: int>>"), empty("paths", "array<struct<seq_id: int, path: array<int>>>"))
 
 
-def map_graphs(rows: DataFrame, keys: list[str], edit: Callable[[SeqGraph, dict], SeqGraph]) -> DataFrame:
-    """Every graph row after ``edit(graph, keys)``; results leave the task in small batches."""
+def map_graphs(rows: DataFrame, keys: list[str], edit: Callable[[SeqGraph, dict], SeqGraph], also: list[str] = ()) -> DataFrame:
+    """Every graph row after ``edit(graph, values)``, the values of the keys and of the columns ``also``;
+    results leave the task in small batches."""
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + _GRAPH
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +62,7 @@ def map_graphs(rows: DataFrame, keys: list[str], edit: Callable[[SeqGraph, dict]
                     [(int(x["src"]), int(x["dst"])) for x in row["links"]],
                     {int(p["seq_id"]): [int(x) for x in p["path"]] for p in row["paths"]},
                 )
-                graph = edit(graph, {k: row[k] for k in keys})
+                graph = edit(graph, {k: row[k] for k in (*keys, *also)})
                 out.append({
                     **{k: row[k] for k in keys},
                     "unitigs": [{"number": n, "seq": t.seq, "depth": t.depth, "kind": t.kind} for n, t in sorted(graph.tigs.items())],
@@ -126,6 +130,8 @@ def tree_clusters(distances: DataFrame, keys: list[str], cutoff: float = 0.2) ->
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(frame["a"]))
+        if len(ids) > MOST_CONTIGS:
+            raise ValueError(f"{len(ids)} contigs in one group; at most {MOST_CONTIGS} can be clustered")
         known = {(a, b): d for a, b, d in zip(frame["a"], frame["b"], frame["dist"], strict=True)}
         tree = upgma(ids, {(a, b): known.get((a, b), 1.0) for i, a in enumerate(ids) for b in ids[i + 1 :]})
         tree.normalise()
@@ -168,10 +174,11 @@ def trim(rows: DataFrame, min_identity: float = 0.75, max_unitigs: int = 5000, m
             hairpin[k] = end or start
         g.paths |= choose(circular, hairpin)
         size = {k: sum(weight[abs(x)] for x in p) for k, p in g.paths.items()}
-        middle = _int_median(list(size.values()))
-        spread = _int_median([abs(s - middle) for s in size.values()])
+        middle = whole_median(list(size.values()))
+        spread = whole_median([abs(s - middle) for s in size.values()])
         if mad:
-            low, high = max(0, round(middle - mad * spread)), round(middle + mad * spread)
+            # halves away from zero, as in stats.length_outliers
+            low, high = floor(max(0.0, middle - mad * spread) + 0.5), floor(middle + mad * spread + 0.5)
             g.paths = {k: p for k, p in g.paths.items() if low <= size[k] <= high}
         g.keep_paths(list(g.paths))
         g.merge_linear_paths()
@@ -181,14 +188,25 @@ def trim(rows: DataFrame, min_identity: float = 0.75, max_unitigs: int = 5000, m
     return map_graphs(rows, ["sample_id", "cluster"], edit)
 
 
-def _int_median(values: list[int]) -> int:
-    v = sorted(values)
-    return (v[(len(v) - 1) // 2] + v[len(v) // 2]) // 2 if v else 0
+def resolve(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Cluster graphs after bridging anchors, culling conflicts and merging. ``weights`` has
+    sample_id, seq_id, consensus_weight: how often a sequence's path counts in the vote."""
+    return _with_weights(rows, weights, lambda g, w: resolve_graph(g, w)[1])
 
 
-def resolve(rows: DataFrame) -> DataFrame:
-    """Cluster graphs after bridging anchors, culling conflicts and merging."""
-    return map_graphs(rows, ["sample_id", "cluster"], lambda g, _: resolve_graph(g)[1])
+def bridged(rows: DataFrame, weights: DataFrame | None = None, merge: bool = False) -> DataFrame:
+    """Cluster graphs with the bridges that conflict with none; with ``merge``, linear paths merged:
+    the steps before conflicts are culled."""
+    return _with_weights(rows, weights, lambda g, w: bridge_graph(g, w, merge))
+
+
+def _with_weights(rows: DataFrame, weights: DataFrame | None, edit: Callable) -> DataFrame:
+    keys = ["sample_id", "cluster"]
+    if weights is None:
+        return map_graphs(rows, keys, lambda g, _: edit(g, {}))
+    own = F.struct(F.col("seq_id").cast("int").alias("seq_id"), F.col("consensus_weight").cast("int").alias("weight"))
+    weighted = rows.join(weights.groupBy("sample_id").agg(F.collect_list(own).alias("weights")), "sample_id", "left")
+    return map_graphs(weighted, keys, lambda g, row: edit(g, {int(x["seq_id"]): int(x["weight"]) for x in (row["weights"] if row["weights"] is not None else ())}), ["weights"])
 
 
 def combine(rows: DataFrame) -> DataFrame:
@@ -202,7 +220,8 @@ def combine(rows: DataFrame) -> DataFrame:
 
 
 def clean(rows: DataFrame, keys: list[str], remove: list[int] = (), duplicate: list[int] = (), min_depth: float | None = None) -> DataFrame:
-    """Graphs after removing and duplicating unitigs, dropping low depths and merging."""
+    """Graphs after removing and duplicating unitigs, dropping those of ``min_depth`` or less (see
+    ``SeqGraph.remove_low_depth``) and merging."""
 
     def edit(g: SeqGraph, _: dict) -> SeqGraph:
         for n in (*remove, *duplicate):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import canonical
 from ..operators.kmers import explode_kmers
+from ..session import written
 
 #: Shares of the resolution. Fixed values of the picture.
 TOP_LEFT_GAP, BORDER_GAP, SEQ_GAP, ALL_SEQ_GAPS = 0.1, 0.015, 0.01, 0.1
@@ -70,14 +71,22 @@ def pixels(seqs: DataFrame, plan: Layout, k: int = 32) -> DataFrame:
     both strands meet on a pixel the forward colour wins. Null and short sequences have no dots.
     """
     starts = seqs.sparkSession.createDataFrame([(s, a) for s, (a, _) in plan.spans.items()], ["seq_id", "__start"])
-    k_of = explode_kmers(seqs.join(F.broadcast(starts), "seq_id"), ["seq_id", "__start"], "seq", k)  # one row per sequence
+    # the layout holds one entry per sequence in the driver already
+    k_of = explode_kmers(seqs.join(F.broadcast(starts), "seq_id"), ["seq_id", "__start"], "seq", k)
     place = F.floor(F.col("pos") / F.lit(plan.bp_per_pixel) + 0.5).cast("bigint") + F.col("__start")
-    both = k_of.where(F.col("kmer").rlike("^[ACGT]+$")).withColumn("c", canonical(F.col("kmer")))
-    own = both.select("c", (F.col("kmer") == F.col("c")).alias("plus"), place.alias("x")).distinct()
-    other = own.select("c", F.col("plus").alias("plus_y"), F.col("x").alias("y"))
+    return matches(k_of.select("kmer", place.alias("x")), [])
+
+
+def matches(places: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x, y, colour of pixels that share a k-mer, on either strand, within ``keys``. ``places`` has
+    keys, kmer and x, the k-mer's pixel. What is joined is written first, once per pixel and k-mer, so
+    that adaptive execution can split a k-mer that fills many pixels."""
+    both = places.where(F.col("kmer").rlike("^[ACGT]+$")).withColumn("c", canonical(F.col("kmer")))
+    own = written(both.select(*keys, "c", (F.col("kmer") == F.col("c")).alias("plus"), "x").distinct())
+    other = own.select(*keys, "c", F.col("plus").alias("plus_y"), F.col("x").alias("y"))
     # a k-mer that is its own reverse complement lies on both strands and so is forward anyway
-    met = own.join(other, "c").groupBy("x", "y").agg(F.max(F.col("plus") == F.col("plus_y")).alias("same"))
-    return met.select("x", "y", F.when(F.col("same"), "forward").otherwise("reverse").alias("colour"))
+    met = own.join(other, [*keys, "c"]).groupBy(*keys, "x", "y").agg(F.max(F.col("plus") == F.col("plus_y")).alias("same"))
+    return met.select(*keys, "x", "y", F.when(F.col("same"), "forward").otherwise("reverse").alias("colour"))
 
 
 def png(plan: Layout, dots: Iterable[tuple[int, int, str]]) -> bytes:

@@ -397,16 +397,15 @@ def copy_numbers(spark, sf_dir):
     SELECT sa AS seq_id, round(xa / 20)::BIGINT AS x, round(yb / 20)::BIGINT AS y, CASE WHEN bool_or(f) THEN 'forward' ELSE 'reverse' END AS colour FROM m GROUP BY ALL"""
 )
 def dotplot_pixels(spark, sf_dir):
-    def pixel(place):
-        return F.round(F.col(place) / 20).cast("bigint")
+    from .dotplot import matches
 
     k = K.explode_kmers(_dna(spark, sf_dir), ["seq_id"], "seq", 10)
-    # both strands meet under the canonical k-mer; it counts once for each pixel however often it repeats inside
-    both = k.withColumn("canonical", S.canonical(F.col("kmer"))).select("seq_id", "canonical", (F.col("kmer") == F.col("canonical")).alias("plus"), pixel("pos").alias("x"))
-    own = both.repartition("seq_id", "canonical").distinct()
-    other = own.select("seq_id", "canonical", F.col("plus").alias("plus_y"), F.col("x").alias("y"))
-    pairs = own.join(other, ["seq_id", "canonical"]).withColumn("forward", F.col("plus") == F.col("plus_y"))
-    return pairs.groupBy("seq_id", "x", "y").agg(F.when(F.max("forward"), "forward").otherwise("reverse").alias("colour"))
+    return matches(k.select("seq_id", "kmer", F.round(F.col("pos") / 20).cast("bigint").alias("x")), ["seq_id"])
+
+
+@query(f"SELECT DISTINCT kmer, list_reduce(list_transform(string_split(kmer, ''), lambda x: strpos('ACGT', x) - 1), lambda a, x: a * 4 + x)::BIGINT AS code FROM ({_kmer_sql(5)})")
+def encoded_kmers(spark, sf_dir):
+    return K.count_kmers(_dna(spark, sf_dir), "seq_id", "seq", 5).select("kmer", S.encode_2bit(F.col("kmer")).alias("code"))
 
 
 @query(r"""SELECT event_id, CASE WHEN v = 'k' THEN 1000 * event_id WHEN v = 'm' THEN 1000000 * event_id ELSE event_id END::BIGINT AS bases FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k' WHEN 1 THEN 'm' ELSE '' END AS v FROM events)""")

@@ -1,5 +1,6 @@
-"""Registered queries over the driver's tables, each with its SQL oracle where SQL can say it."""
+"""All registered queries of the library and their SQL."""
 
+from . import more_queries  # noqa: F401
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,6 +16,18 @@ FIELDS = (
     "consensus_assembly_bases", "consensus_assembly_unitigs", "consensus_assembly_fully_resolved",
 )
 
+#: Names of all metrics. Fixed values of the format.
+KNOWN = frozenset((
+    "input_read_count", "input_read_bases", "input_read_n50", "output_reads",
+    "input_assemblies_count", "input_assemblies_total_contigs", "input_assemblies_total_length", "compressed_unitig_count", "compressed_unitig_total_length",
+    "input_assembly_details",
+    "pass_cluster_count", "fail_cluster_count", "pass_contig_count", "fail_contig_count", "pass_contig_fraction", "fail_contig_fraction",
+    "cluster_balance_score", "cluster_tightness_score", "overall_clustering_score",
+    "untrimmed_cluster_size", "untrimmed_cluster_lengths", "untrimmed_cluster_median", "untrimmed_cluster_mad", "untrimmed_cluster_distance",
+    "trimmed_cluster_size", "trimmed_cluster_lengths", "trimmed_cluster_median", "trimmed_cluster_mad",
+    "consensus_assembly_bases", "consensus_assembly_unitigs", "consensus_assembly_fully_resolved", "consensus_assembly_clusters",
+))
+
 
 def phylip_lines(labels: dict[int, str], distance: dict[tuple[int, int], float]) -> list[str]:
     """Distance matrix of one sample, tab-separated with eight decimals; unknown pairs are 1."""
@@ -24,28 +36,6 @@ def phylip_lines(labels: dict[int, str], distance: dict[tuple[int, int], float])
     return [str(len(ids))] + ["\t".join([labels[a], *(f"{cell(a, b):.8f}" for b in ids)]) for a in ids]
 
 
-def cluster_qc(sizes: dict[int, int], contained_in: dict[int, list[int]], least: int, trusted: set[int] = frozenset(), manual: set[int] | None = None) -> dict[int, list[str]]:
-    """Reasons to fail per cluster, in the order of cluster numbers; an empty list passes.
-
-    A cluster contained in one that passes so far fails, and so no longer holds others; of
-    several containers the least number is named. Trusted clusters never fail by themselves.
-    """
-    out: dict[int, list[str]] = {}
-    for c in sorted(sizes):
-        out[c] = []
-        if manual is not None:
-            if c not in manual:
-                out[c].append("not included in manual clusters")
-        elif c not in trusted and sizes[c] < least:
-            out[c].append("present in too few assemblies")
-    for c in sorted(sizes):
-        if manual is None and c not in trusted and not out[c]:
-            held = [o for o in sorted(contained_in.get(c, ())) if not out[o]]
-            if held:
-                out[c].append(f"contained within cluster {held[0]}")
-    return out
-
-
 def clustering_summary(clusters: DataFrame) -> DataFrame:
     """One row: pass and fail counts of clusters and contigs, and their pass shares. ``clusters``
     has cluster, size, passed."""
@@ -63,6 +53,9 @@ def table_line(name: str, one_copy: list[dict[str, Any]], multi_copy: list[dict[
     many copies give a list per field; unknown fields are an error."""
     if sigfigs < 1:
         raise ValueError("at least one significant figure is needed")
+    if "\t" in name:
+        raise ValueError("a name cannot hold tabs")
+    check_fields(fields)
     merged: dict[str, Any] = {k: v for r in one_copy for k, v in r.items()}
     for record in multi_copy:
         for k, v in record.items():
@@ -70,5 +63,11 @@ def table_line(name: str, one_copy: list[dict[str, Any]], multi_copy: list[dict[
     return "\t".join([name, *(shown(merged.get(f), sigfigs) for f in fields)])
 
 
+def check_fields(fields: tuple[str, ...]) -> None:
+    if unknown := [f for f in fields if f not in KNOWN]:
+        raise ValueError(f"{unknown[0]} is not a metric")
+
+
 def table_header(fields: tuple[str, ...] = FIELDS) -> str:
+    check_fields(fields)
     return "\t".join(("name", *fields))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.seq import clean_header, directive, is_ignored, is_trusted
+from ..session import small_or_not, written
 
 SCHEMA = "filename string, record int, name string, header string, seq string"
 #: File names that count as assemblies; a trailing .gz is allowed.
@@ -98,11 +99,11 @@ def assembly_sequences(fasta: DataFrame, k: int, sample_id: str = "sample", max_
         raise ValueError(f"{mean:.1f} contigs per assembly on average; at most {max_contigs} are allowed")
     kept = fasta.where(F.length("seq") >= k)
     per_file = kept.groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("filename").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = Window.orderBy("filename").rowsBetween(Window.unboundedPreceding, -1)  # one row per file of a sample
     offset = per_file.select("filename", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     rank = F.row_number().over(Window.partitionBy("filename").orderBy("record"))
     header = clean_header(F.col("header"))
-    return kept.withColumn("r", rank).join(F.broadcast(offset), "filename").select(
+    return kept.withColumn("r", rank).join(small_or_not(written(offset)), "filename").select(
         F.lit(sample_id).alias("sample_id"), (F.col("r") + F.col("off")).cast("int").alias("seq_id"), "filename",
         header.alias("contig_header"), F.length("seq").cast("bigint").alias("length"), "seq",
         directive(header, "cluster_weight").alias("cluster_weight"),
@@ -111,6 +112,11 @@ def assembly_sequences(fasta: DataFrame, k: int, sample_id: str = "sample", max_
     )
 
 
+def total_lengths(fasta: DataFrame) -> DataFrame:
+    """filename, contigs, bases: letters of all sequences of a file."""
+    return fasta.groupBy("filename").agg(F.count(F.lit(1)).alias("contigs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
+
+
 def fasta_lines(seqs: DataFrame, order: list[str], header: str = "header", seq: str = "seq") -> DataFrame:
     """One ``value`` column with single-line records, in order, ready for ``write.text``."""
     return seqs.orderBy(*order).select(F.concat(F.lit(">"), header, F.lit("\n"), seq).alias("value"))

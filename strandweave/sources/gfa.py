@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.seq import reverse_path, signed_path, signed_text
+from ..functions.seq import fixed, reverse_path, signed_path, signed_text
 
 #: Colour tags of unitig kinds. Fixed values of the format.
 COLOURS = {"anchor": "forestgreen", "bridge": "pink", "consentig": "steelblue", "other": "orangered"}
@@ -35,21 +35,23 @@ def parse_gfa(lines: DataFrame) -> Gfa:
     LN, FN and HD. Other line types are left out. The source may be read once per table."""
     parts = lines.select(F.split("value", "\t").alias("p"))
     of = lambda kind: parts.where(F.col("p")[0] == kind)
-    need = lambda value, text: F.coalesce(value, F.raise_error(F.lit(text)).cast("string"))
+    # a filter on the result may run before the one on the line's type: only own lines are judged
+    need = lambda kind, value, text: F.when(F.col("p")[0] == kind, F.coalesce(value, F.raise_error(F.lit(text)).cast("string")))
     p = F.col("p")
+    at = lambda i: F.get(p, F.lit(i))
     colour = _tag(p, "CL:Z:")
     kind = F.lit("other")
     for name, value in COLOURS.items():
         kind = F.when(colour == value, name).otherwise(kind)
     unitigs = of("S").select(
-        p[1].try_cast("int").alias("number"), p[2].alias("seq"), need(_tag(p, "DP:f:"), "a segment has no depth").try_cast("double").alias("depth"), kind.alias("type")
+        at(1).try_cast("int").alias("number"), at(2).alias("seq"), need("S", _tag(p, "DP:f:"), "a segment has no depth").try_cast("double").alias("depth"), kind.alias("type")
     )
     signed = lambda n, s: n.try_cast("int") * F.when(s == "-", -1).otherwise(1)
-    zero = F.when(F.get(p, F.lit(5)) == "0M", F.lit(1)).otherwise(F.raise_error(F.lit("links must not overlap")).cast("int"))
-    links = of("L").select((signed(p[1], p[2]) * zero).alias("src"), signed(p[3], p[4]).alias("dst"))
+    zero = F.when((at(0) != "L") | (at(5) == "0M"), F.lit(1)).otherwise(F.raise_error(F.lit("links must not overlap")).cast("int"))
+    links = of("L").select((signed(at(1), at(2)) * zero).alias("src"), signed(at(3), at(4)).alias("dst"))
     paths = of("P").select(
-        p[1].try_cast("int").alias("seq_id"), signed_path(p[2]).alias("path"), need(_tag(p, "LN:i:"), "a path has no length").try_cast("bigint").alias("length"),
-        need(_tag(p, "FN:Z:"), "a path has no file name").alias("filename"), need(_tag(p, "HD:Z:"), "a path has no header").alias("header"),
+        at(1).try_cast("int").alias("seq_id"), signed_path(at(2)).alias("path"), need("P", _tag(p, "LN:i:"), "a path has no length").try_cast("bigint").alias("length"),
+        need("P", _tag(p, "FN:Z:"), "a path has no file name").alias("filename"), need("P", _tag(p, "HD:Z:"), "a path has no header").alias("header"),
         F.coalesce(_tag(p, "CL:i:").try_cast("int"), F.lit(0)).alias("cluster"),
     )
     return Gfa(of("H").select(_tag(p, "KM:i:").try_cast("int").alias("k")), unitigs, links, paths)
@@ -83,7 +85,7 @@ def gfa_lines(gfa: Gfa, k: int | None) -> DataFrame:
     head = spark.range(1).select(F.lit("H\tVN:Z:1.0" + (f"\tKM:i:{k}" if k else "")).alias("value"), F.lit(0).alias("o"), F.lit(0).alias("a"), F.lit("").alias("b"))
     colour = F.create_map(*(F.lit(x) for kv in COLOURS.items() if kv[0] != "other" for x in kv))[F.col("type")]
     seg = gfa.unitigs.select(
-        F.concat(F.lit("S\t"), "number", F.lit("\t"), "seq", F.lit("\tDP:f:"), F.format_string("%.2f", "depth"), F.coalesce(F.concat(F.lit("\tCL:Z:"), colour), F.lit(""))).alias("value"),
+        F.concat(F.lit("S\t"), "number", F.lit("\t"), "seq", F.lit("\tDP:f:"), fixed(F.col("depth"), 2), F.coalesce(F.concat(F.lit("\tCL:Z:"), colour), F.lit(""))).alias("value"),
         F.lit(1).alias("o"), F.col("number").alias("a"), F.lit("").alias("b"),
     )
     side = lambda c: F.concat(F.abs(c).cast("string"), F.lit("\t"), F.when(F.col(c) > 0, "+").otherwise("-"))
@@ -104,5 +106,5 @@ def segment_fasta(gfa: Gfa) -> DataFrame:
     for extra in (loops, other, any_):
         rows = rows.join(extra, "number", "left")
     shape = F.when(F.col("loop") & F.col("more").isNull(), "circular").when(F.col("any").isNull(), "linear").otherwise("other")
-    header = F.concat_ws(" ", F.col("number").cast("string"), F.concat(F.lit("length="), F.length("seq")), F.concat(F.lit("depth="), F.format_string("%.1f", "depth")), F.when(shape != "other", F.concat(F.lit("topology="), shape)))
+    header = F.concat_ws(" ", F.col("number").cast("string"), F.concat(F.lit("length="), F.length("seq")), F.concat(F.lit("depth="), fixed(F.col("depth"), 1)), F.when(shape != "other", F.concat(F.lit("topology="), shape)))
     return rows.select("number", header.alias("header"), "seq", shape.alias("topology"))

@@ -33,13 +33,27 @@ def test_read_depths(spark):
     reads = spark.createDataFrame([(1, seq), (2, seq), (3, "T" * 30)], "read_id bigint, seq string")
     got = read_depths(rows, reads, 11).collect()
     assert [(r.number, round(r.read_depth, 6)) for r in got] == [(1, round(2 * 31 / 21, 6))]
-    with pytest.raises(ValueError, match="no read"):
-        read_depths(rows, reads.where("read_id = 3"), 11)
+    with pytest.raises(Exception, match="no read"):
+        read_depths(rows, reads.where("read_id = 3"), 11).collect()
+
+
+def test_read_depths_of_two_samples(spark):
+    """Equal k-mers of two samples are no repeats, and each sample has a scale of its own."""
+    seq, other = "ACGATTGCCAGTTTCAGGCATTGACCAGTAC", "TTGACGGATCCATTAGCGGATACCAGGTACC"
+    kind = "array<struct<number: int, seq: string, depth: double, kind: string>>, links array<struct<src: int, dst: int>>"
+    rows = spark.createDataFrame([("s", 1, [(1, seq, 1.0, "other")], []), ("t", 1, [(1, seq, 1.0, "other")], []), ("t", 2, [(1, other, 1.0, "other")], [])], f"sample_id string, cluster int, unitigs {kind}")
+    reads = spark.createDataFrame([("s", 1, seq), ("s", 2, seq), ("t", 1, seq), ("t", 2, other), ("t", 3, other)], "sample_id string, read_id bigint, seq string")
+    got = {(r.sample_id, r.cluster): round(r.read_depth, 6) for r in read_depths(rows, reads, 11).collect()}
+    assert got == {("s", 1): round(2 * 31 / 21, 6), ("t", 1): round(31 / 21, 6), ("t", 2): round(2 * 31 / 21, 6)}
 
 
 def test_reports(spark):
     assert reports.phylip_lines({1: "a", 2: "b"}, {(1, 2): 0.25}) == ["2", "a\t0.00000000\t0.25000000", "b\t1.00000000\t0.00000000"]
-    assert reports.cluster_qc({1: 4, 2: 1, 3: 4, 4: 4}, {3: [1, 2], 4: [3]}, 2) == {1: [], 2: ["present in too few assemblies"], 3: ["contained within cluster 1"], 4: []}
-    assert reports.table_line("x", [{"a": 1}, {"a": 2}], [{"b": 1.23456}, {"b": 2}], ("a", "b", "c")) == "x\t2\t[1.23,2]\t"
+    a, b, c = "pass_cluster_count", "trimmed_cluster_mad", "input_read_n50"
+    assert reports.table_line("x", [{a: 1}, {a: 2}], [{b: 1.23456}, {b: 2}], (a, b, c)) == "x\t2\t[1.23,2]\t"
+    for bad in (lambda: reports.table_line("x", [], [], ("a",)), lambda: reports.table_header(("a",)), lambda: reports.table_line("x\ty", [], [])):
+        with pytest.raises(ValueError):
+            bad()
+    assert reports.table_header() == "name\t" + "\t".join(reports.FIELDS)
     clusters = spark.createDataFrame([(1, 3, True), (2, 1, False)], "cluster int, size int, passed boolean")
     assert tuple(reports.clustering_summary(clusters).first()) == (1, 1, 3, 1, 0.75, 0.25)

@@ -137,7 +137,10 @@ def test_trimming():
     path = [1, -2, 3, -4, 5, 1, -2]
     got = [(p.a, p.ai, p.b, p.bi) for p in overlap_alignment(path, path, w, 0.9, 100, True)]
     assert got == [(1, 0, 1, 5), (-2, 1, -2, 6)]
-    assert not overlap_alignment(path, path, w, 0.9, 1, True)
+    assert not overlap_alignment(path, path, w, 0.9, 1, True) and not overlap_alignment(path, path, w, 0.9, 0, True)
+    # a beginning without a match counts in the identity: 4 of 5 pieces by weight
+    assert not overlap_alignment([9, 1, 2], [5, 1, 2], w, 0.9, 100, False)
+    assert len(overlap_alignment([9, 1, 2], [5, 1, 2], w, 0.75, 100, False)) == 3
     assert not overlap_alignment(path[:5], path[:5], w, 0.9, 100, True)
     w2 = {1: 30, 2: 1, 3: 10, 4: 10, 5: 10, 6: 1}
     path = [1, -2, 3, -4, 5, 1, 6, 3]
@@ -181,3 +184,53 @@ def test_repair_ends_of_contigs_under_2k(spark):
     got = {r.seq_id: r.padded_seq for r in repair_ends(spark.createDataFrame(rows, "sample_id string, seq_id int, seq string"), 21).collect()}
     assert got[2] == whole[20:61] and got[3] == whole[50:111]  # of k and of 2k - 1 letters
     assert got[4] == "." * 10 + whole[20:40] + "." * 10  # under k
+
+
+def test_low_depth_removal():
+    two = lambda a, b: SeqGraph.of([(1, "ACGT", 5.0), (2, "CC", a), (3, "GG", b)], [(1, 2), (2, 1), (1, 3), (3, 1)])
+    graph = two(2.0, 1.0)
+    assert graph.remove_low_depth(1.0) == [3] and sorted(graph.tigs) == [1, 2]
+    assert two(1.0, 1.0).remove_low_depth(1.0) == [3]  # 2 is the only way on then
+    assert two(2.0, 1.5).remove_low_depth(1.0) == []
+
+
+def test_votes_by_weight():
+    from strandweave.operators.resolving import bridge_graph, resolve
+
+    def graph():
+        tigs = [(1, "A" * 9, 3.0), (2, "C" * 9, 3.0), (3, "GG", 1.0), (4, "TT", 2.0)]
+        return SeqGraph.of(tigs, [(1, 3), (3, 2), (1, 4), (4, 2)], {1: [1, 3, 2], 2: [1, 4, 2], 3: [1, 4, 2]})
+
+    assert resolve(graph())[0][0].best == [4] and resolve(graph(), {1: 3})[0][0].best == [3] and resolve(graph(), {2: 0, 3: 0})[0][0].best == [3]
+    assert len(bridge_graph(graph()).tigs) == 3 and len(bridge_graph(graph(), merge=True).tigs) == 1
+
+
+def test_clustering_of_one_sample():
+    from strandweave.operators import clustering as C
+
+    own = lambda i, f, n, **more: C.Contig(i, f, n, **more)
+    contigs = [own(1, "a", 100), own(2, "b", 110), own(3, "c", 90), own(4, "a", 50), own(5, "b", 52), own(6, "c", 8), own(7, "a", 30), own(8, "b", 31)]
+    near = {(a, b): 0.02 for group in ([1, 2, 3], [4, 5], [7, 8]) for a in group for b in group}
+    near |= {(a, b): 0.1 for a in (7, 8) for b in (1, 2, 3)} | {(b, a): 0.7 for a in (7, 8) for b in (1, 2, 3)}
+    tree, found = C.clustered(contigs, near, 0.2)
+    assert [[x.id for x in c.contigs] for c in found] == [[1, 2, 3], [4, 5], [7, 8], [6]]
+    assert [c.reasons for c in found] == [[], [], ["contained within cluster 1"], ["present in too few assemblies"]]
+    trusted = [C.Contig(c.id, c.filename, c.length, trusted=c.id in (6, 7)) for c in contigs]
+    assert all(c.passed for c in C.clustered(trusted, near, 0.2)[1])
+    weighted = [C.Contig(c.id, c.filename, c.length, weight=2 if c.id == 6 else 1) for c in contigs]
+    assert C.clustered(weighted, near, 0.2)[1][3].passed
+    picked = C.clustered(contigs, near, 0.2, manual=[found[1].node])[1]
+    assert [c.passed for c in picked] == [False, True, False, False] and picked[0].reasons == ["not included in manual clusters"]
+    with pytest.raises(ValueError):
+        C.clustered(contigs, near, 0.2, manual=[tree.root, 1])
+    balance, tight, both = C.scores(found)
+    assert abs(balance - (1 * 3 + 2 / 3 * 2 + 2 / 3 * 2 + 1 / 3) / 8) < 1e-12 and abs(tight - (1 - 0.02**0.5)) < 1e-12 and both == (balance + tight) / 2
+    # a cut that joins two contigs of one file is refined
+    twice = [own(1, "a", 10), own(2, "a", 10), own(3, "b", 10), own(4, "b", 10)]
+    close = {(1, 3): 0.01, (3, 1): 0.01, (2, 4): 0.01, (4, 2): 0.01}
+    close |= {(a, b): 0.15 for a in (1, 3) for b in (2, 4)} | {(b, a): 0.15 for a in (1, 3) for b in (2, 4)}
+    assert [[x.id for x in c.contigs] for c in C.clustered(twice, close, 0.2)[1]] == [[1, 3], [2, 4]]
+    assert C.manual_nodes(" 7, 3") == [3, 7] and C.manual_nodes(None) == [] and C.least_assemblies(contigs) == 2
+    for bad in (lambda: C.manual_nodes("a"), lambda: C.check_contigs([], 25), lambda: C.check_contigs(contigs, 2.5)):
+        with pytest.raises(ValueError):
+            bad()
