@@ -159,18 +159,17 @@ class Automaton:
             if c is None:
                 s = n = 0
                 continue
-            while True:
+            while s:
                 low, high = first[s], first[s + 1]
                 if high - low > 1:
                     low = bisect_left(codes, c, low, high)
                 if low < high and codes[low] == c:
                     s, n = to[low], n + 1
                     break
-                if not s:  # cannot be: every word of the vocabulary starts somewhere
-                    n = 0
-                    break
                 s = link[s]
                 n = length[s]
+            else:  # every word of the vocabulary is a step from the root, whose steps are in order
+                s, n = to[c], 1
             while n > window and length[link[s]] >= window:
                 s = link[s]
                 n = length[s]
