@@ -269,6 +269,7 @@ def _compared(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int |
                         yield links()
                     unit, held = (g, f, qi, mi), ([], [])
                 held[role].append((cid, comp, np.frombuffer(made.as_buffer(), np.int64)))
+            pa.default_memory_pool().release_unused()
         if unit is not None:
             yield links()
 
@@ -356,12 +357,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = next(n for n in ("text_key" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     text_key = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))
     named = docs.where(F.col("doc_id").isNotNull()).withColumn(key, text_key)
-    groups = _grouped(named.select("doc_id", "text", F.col(key).alias("text_key"))).where("kept")
+    groups = written(_grouped(named.select("doc_id", "text", F.col(key).alias("text_key"))).select("doc_id", "text_key", "kept", "group"))
     own = F.coalesce("group", F.concat(F.lit(b"-"), F.col("doc_id").cast("string").cast("binary"), F.lit(b" "), F.col("text_key")))
-    kept = groups.groupBy(own.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
-    kept = kept.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text_key").alias(key)).distinct()
-    one = named.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = groups.where("kept").groupBy(own.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    kept = kept.select("x.*").distinct().withColumn("one", F.lit(True))
+    rows = groups.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(kept, ["doc_id", "text_key"], "left")
+    # most documents stay and occur once: the others are named, so that most texts need no shuffle
+    other = written(rows.where("one is null or n > 1").select("doc_id", F.col("text_key").alias(key), "one"))
+    once = named.join(small_or_not(other.drop("one")), ["doc_id", key], "left_anti")
+    more = named.join(small_or_not(other.where("one").drop("one")), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return once.unionByName(more).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
