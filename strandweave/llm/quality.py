@@ -135,8 +135,9 @@ def _stats_of(batch: pa.RecordBatch) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
     """Trees learned from about ``sample`` labelled documents that are not held out.
 
-    Null labels and ids are left out, a document with several labels counts with the lowest.
-    The chosen ids are at most a few thousand, so they are broadcast to the scan of documents.
+    Null labels and ids are left out, a document with several labels counts with the lowest, an id
+    with several texts with the first in order. The chosen ids are at most a few thousand, so they
+    are broadcast to the scan of documents, and as many rows of statistics are collected.
     """
     usable = labels.select("doc_id", "quality").where(
         F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))
@@ -145,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTr
     share = F.lit(min(1.0, sample / max(n, 1)))
     chosen = usable.where(hashed_share(F.col("doc_id"), share)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    wanted = wanted.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def stats(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": _stats_of(batch).tolist()}
@@ -158,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTr
 def predict(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     """doc_id, held_out, score, predicted of every document. Null and empty texts are scored by
     their all-zero statistics; a null doc_id stays null and is not held out; repeated rows give
-    repeated results; an empty table gives none. Other columns are not read."""
+    repeated results; very long texts are read whole; an empty table gives none. Other columns are
+    not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
@@ -170,7 +173,9 @@ def predict(docs: DataFrame, model: BoostedTrees) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: BoostedTrees, least: float = 0.5) -> DataFrame:
-    """Documents that score ``least`` or more; all columns stay as they are."""
+    """Documents that score ``least`` or more, a tie with the limit included; all columns stay as they
+    are. Null and empty texts are judged by their all-zero statistics, repeated rows alike, very long
+    texts as a whole; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return filter_arrow(docs, lambda batch: shared.value.score(_stats_of(batch)) >= least)
 
