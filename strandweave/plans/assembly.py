@@ -204,8 +204,10 @@ def _with_weights(rows: DataFrame, weights: DataFrame | None, edit: Callable) ->
     keys = ["sample_id", "cluster"]
     if weights is None:
         return map_graphs(rows, keys, lambda g, _: edit(g, {}))
-    own = F.struct(F.col("seq_id").cast("int").alias("seq_id"), F.col("consensus_weight").cast("int").alias("weight"))
-    weighted = rows.join(weights.groupBy("sample_id").agg(F.collect_list(own).alias("weights")), "sample_id", "left")
+    named = weights.select("sample_id", F.col("seq_id").cast("int").alias("seq_id"), F.col("consensus_weight").cast("int").alias("weight"))
+    own = rows.select(*keys, F.explode("paths.seq_id").alias("seq_id")).join(named, ["sample_id", "seq_id"])
+    own = own.groupBy(*keys).agg(F.collect_list(F.struct("seq_id", "weight")).alias("weights"))
+    weighted = rows.join(own, keys, "left")
     return map_graphs(weighted, keys, lambda g, row: edit(g, {int(x["seq_id"]): int(x["weight"]) for x in (row["weights"] if row["weights"] is not None else ())}), ["weights"])
 
 
@@ -221,12 +223,13 @@ def combine(rows: DataFrame) -> DataFrame:
 
 def clean(rows: DataFrame, keys: list[str], remove: list[int] = (), duplicate: list[int] = (), min_depth: float | None = None) -> DataFrame:
     """Graphs after removing and duplicating unitigs, dropping those of ``min_depth`` or less (see
-    ``SeqGraph.remove_low_depth``) and merging."""
+    ``SeqGraph.remove_low_depth``) and merging. Paths do not outlive such edits and are left out."""
 
     def edit(g: SeqGraph, _: dict) -> SeqGraph:
         for n in (*remove, *duplicate):
             if n not in g.tigs:
                 raise ValueError(f"no unitig {n}")
+        g.paths = {}
         g.remove(remove)
         for n in duplicate:
             g.duplicate(n)

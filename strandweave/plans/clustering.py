@@ -16,14 +16,15 @@ _OUT = "sample_id string, seq_id bigint, node int, cluster int, passed boolean,
 
 def _samples(seqs: DataFrame, distances: DataFrame, run, schema: str) -> DataFrame:
     wanted = seqs.select("sample_id", F.col("seq_id").cast("bigint").alias("seq_id"), "filename", F.col("length").cast("bigint").alias("length"), F.col("cluster_weight").cast("int").alias("weight"), "trusted")
-    pairs = distances.select("sample_id", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "dist")
+    # a name of its own, since both sides may come from one table
+    pairs = distances.select(F.col("sample_id").alias("sample"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "dist")
 
     def one(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         contigs = [Contig(int(r.seq_id), r.filename, int(r.length), int(r.weight), bool(r.trusted)) for r in own.sort_values("seq_id").itertuples()]
         known = {(int(a), int(b)): float(d) for a, b, d in zip(near["a"], near["b"], near["dist"], strict=True)}
         return run(own, contigs, known)
 
-    return wanted.groupBy("sample_id").cogroup(pairs.groupBy("sample_id")).applyInPandas(one, schema)
+    return wanted.groupBy("sample_id").cogroup(pairs.groupBy("sample")).applyInPandas(one, schema)
 
 
 def cluster(seqs: DataFrame, distances: DataFrame, cutoff: float = 0.2, min_assemblies: int | None = None, manual: str | None = None, max_contigs: float = 25.0) -> DataFrame:

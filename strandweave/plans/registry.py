@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-from . import more_queries  # noqa: F401
+from . import graph_queries, more_queries  # noqa: F401
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
