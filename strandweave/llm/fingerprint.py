@@ -172,17 +172,17 @@ def _groups(doc_id: Column, digest: Column, edges: list[int], steps: int) -> Col
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, digest and ``group``, with a copy of each group's neighbour: in every group,
+    """doc_id, text and ``group``, with a copy of each group's neighbour: in every group,
     rows in descending doc_id are followed by the first row of the next lower group (``ghost``
     true). Only one shuffle of texts is needed then, by group; the copies are one row per group.
     """
     edges, steps = _edges(docs)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
-    rows = rows.withColumn("group", _groups(F.col("doc_id"), F.col("digest"), edges, steps))
-    # a group's first row has the greatest id and of this the least digest
-    first = F.min(F.struct((-F.col("doc_id")).alias("neg"), "digest"))
-    heads = written(rows.groupBy("group").agg(first.alias("x")).select("group", F.floor(F.col("group") / 2**24).alias("range"), "x.*"))
+    digest = F.md5(F.col("text").cast("binary"))
+    rows = docs.select("doc_id", text.alias("text")).withColumn("group", _groups(F.col("doc_id"), digest, edges, steps))
+    # a group's first row has the greatest id (if any), and of rows of this id the least digest
+    first = F.max("doc_id").alias("head")
+    heads = written(rows.groupBy("group").agg(first).select("group", F.floor(F.col("group") / 2**24).alias("range"), "head"))
     # the group that a head is copied to is the next higher one: in its range of groups, else the
     # lowest of the next range; the very first head goes to the very last group
     ranges = heads.groupBy("range").agg(F.min("group").alias("lowest"))
@@ -190,12 +190,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     above = F.coalesce(F.lag("lowest").over(down), F.min("lowest").over(whole))
     above = small_or_not(written(ranges.select("range", above.alias("above"))))
     inside = F.lag("group").over(Window.partitionBy("range").orderBy(F.desc("group")))
-    to = heads.withColumn("inside", inside).join(above, "range").select("group", "neg", "digest", F.coalesce("inside", "above").alias("to"))
+    to = heads.withColumn("inside", inside).join(above, "range").select("group", "head", F.coalesce("inside", "above").alias("to"))
     to = small_or_not(written(to)).alias("h")
-    same = (F.col("r.group") == F.col("h.group")) & (-F.col("r.doc_id")).eqNullSafe(F.col("h.neg")) & (F.col("r.digest") == F.col("h.digest"))
-    here = rows.alias("r").join(to, same).select("h.to", "r.doc_id", "r.text", "r.digest")
-    ghosts = here.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("digest").alias("digest"))
-    ghosts = ghosts.select("doc_id", "text", "digest", F.col("to").alias("group"), F.lit(True).alias("ghost"))
+    here = rows.alias("r").join(to, (F.col("r.group") == F.col("h.group")) & F.col("r.doc_id").eqNullSafe(F.col("h.head")))
+    least = F.min(F.struct(F.md5(F.col("r.text").cast("binary")).alias("digest"), F.col("r.text").alias("text"))).alias("x")
+    ghosts = here.groupBy("h.to", "h.head").agg(least).select(F.col("head").alias("doc_id"), "x.text", F.col("to").alias("group"), F.lit(True).alias("ghost"))
     return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
@@ -212,7 +211,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``near_edited``. It is above 0 for every text.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = Window.partitionBy("group").orderBy("ghost", F.desc("doc_id"), "digest")
+    order = Window.partitionBy("group").orderBy("ghost", F.desc("doc_id"), F.md5(F.col("text").cast("binary")))
     near = with_next(docs).withColumn("next_text", F.lead("text").over(order)).withColumn("kept", winnow(F.col("text")))
     near = near.withColumn("next_kept", F.lead("kept").over(order)).where(~F.col("ghost"))
     n = F.char_length("text")
