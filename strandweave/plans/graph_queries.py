@@ -153,3 +153,18 @@ def clustered_pairs(spark, sf_dir):
     near = near.join(seqs.select("sample_id", F.col("seq_id").alias("b")), ["sample_id", "b"], "left_semi")
     out = L.cluster(seqs, near, min_assemblies=1)
     return out.select("sample_id", "seq_id", "cluster", "passed", F.round("distance", 9).alias("distance"))
+
+
+@query(
+    """WITH c AS (SELECT 's' || (s_nationkey // 3) AS sample_id, s_suppkey AS id, s_name AS name, s_nationkey AS len FROM supplier), n AS (SELECT sample_id, count(*) AS n FROM c GROUP BY 1),
+    m AS (SELECT a.sample_id, a.id, any_value(a.name) AS name, any_value(a.len) AS len, string_agg(CASE WHEN a.id = b.id THEN '0.00000000' WHEN b.id = a.id + 5 THEN '0.25000000' ELSE '1.00000000' END, chr(9) ORDER BY b.id) AS cells FROM c a JOIN c b USING (sample_id) GROUP BY 1, 2)
+    SELECT sample_id, 0 AS place, n || '' AS value FROM n UNION ALL SELECT sample_id, id + 1, 'f ' || name || ' (' || len || ' bp)' || chr(9) || cells FROM m"""
+)
+def phylip(spark, sf_dir):
+    from .reports import phylip as lines
+
+    seqs = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.floor(F.col("s_nationkey") / 3)).alias("sample_id"), (F.col("s_suppkey") + 1).alias("seq_id"), F.lit("f").alias("filename"), F.col("s_name").alias("contig_header"), F.col("s_nationkey").alias("length")
+    )
+    near = seqs.select("sample_id", F.col("seq_id").alias("a"), (F.col("seq_id") + 5).alias("b"), F.lit(0.25).alias("dist"))
+    return lines(near, seqs)

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seq import contig_text
 from ..sources.yamlio import shown
 
 #: Columns of the metrics table by default. Fixed values of the format.
@@ -29,11 +30,19 @@ KNOWN = frozenset((
 ))
 
 
-def phylip_lines(labels: dict[int, str], distance: dict[tuple[int, int], float]) -> list[str]:
-    """Distance matrix of one sample, tab-separated with eight decimals; unknown pairs are 1."""
-    ids = sorted(labels)
-    cell = lambda a, b: 0.0 if a == b else distance.get((a, b), 1.0)
-    return [str(len(ids))] + ["\t".join([labels[a], *(f"{cell(a, b):.8f}" for b in ids)]) for a in ids]
+def phylip(distances: DataFrame, seqs: DataFrame) -> DataFrame:
+    """sample_id, place, value: the distance matrix of every sample as lines, the number of sequences
+    first, then a row per sequence in the order of their numbers, tab-separated with eight decimals;
+    pairs that ``distances`` (sample_id, a, b, dist) lacks have 1, a sequence has 0 to itself. A row
+    is one line of the sample's few thousand sequences at most."""
+    named = seqs.select("sample_id", F.col("seq_id").cast("bigint").alias("a"), contig_text(F.col("filename"), F.col("contig_header"), F.col("length")).alias("label"))
+    ids = named.groupBy("sample_id").agg(F.sort_array(F.collect_list("a")).alias("ids"))
+    known = distances.groupBy("sample_id", F.col("a").cast("bigint").alias("a")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").cast("bigint"), "dist"))).alias("near"))
+    rows = named.join(ids, "sample_id").join(known, ["sample_id", "a"], "left")
+    cell = lambda b: F.format_string("%.8f", F.when(b == F.col("a"), 0.0).otherwise(F.coalesce(F.try_element_at("near", b), F.lit(1.0))))
+    line = F.concat_ws("\t", F.col("label"), F.transform("ids", cell))
+    head = ids.select("sample_id", F.lit(0).cast("bigint").alias("place"), F.size("ids").cast("string").alias("value"))
+    return head.unionByName(rows.select("sample_id", F.col("a").alias("place"), line.alias("value")))
 
 
 def clustering_summary(clusters: DataFrame) -> DataFrame:

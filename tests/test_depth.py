@@ -48,7 +48,10 @@ def test_read_depths_of_two_samples(spark):
 
 
 def test_reports(spark):
-    assert reports.phylip_lines({1: "a", 2: "b"}, {(1, 2): 0.25}) == ["2", "a\t0.00000000\t0.25000000", "b\t1.00000000\t0.00000000"]
+    seqs = spark.createDataFrame([("s", 1, "f", "a x", 9), ("s", 2, "f", "b", 8), ("t", 1, "f", "c", 7)], "sample_id string, seq_id int, filename string, contig_header string, length bigint")
+    near = spark.createDataFrame([("s", 1, 2, 0.25)], "sample_id string, a bigint, b bigint, dist double")
+    lines = [(r.sample_id, r.value) for r in reports.phylip(near, seqs).orderBy("sample_id", "place").collect()]
+    assert lines == [("s", "2"), ("s", "f a (9 bp)\t0.00000000\t0.25000000"), ("s", "f b (8 bp)\t1.00000000\t0.00000000"), ("t", "1"), ("t", "f c (7 bp)\t0.00000000")]
     a, b, c = "pass_cluster_count", "trimmed_cluster_mad", "input_read_n50"
     assert reports.table_line("x", [{a: 1}, {a: 2}], [{b: 1.23456}, {b: 2}], (a, b, c)) == "x\t2\t[1.23,2]\t"
     for bad in (lambda: reports.table_line("x", [], [], ("a",)), lambda: reports.table_header(("a",)), lambda: reports.table_line("x\ty", [], [])):
