@@ -120,7 +120,8 @@ def _lists(classes: DataFrame, k: int | None) -> DataFrame:
     retain too; classes without any are left out. ``central`` is how often a class's values occur
     in all: the original of many copies has most."""
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # written, so that the join is of two plain shuffles, in which a value of very many sketches can be split
+    shared = small_or_not(written(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")))
     lists = (
         values.join(shared, "v")
         .groupBy("cid")
@@ -341,7 +342,7 @@ def _grouped(known: DataFrame, k: int | None = K) -> DataFrame:
     labels = small_or_not(class_labels(classes, known, k).withColumnRenamed("a", "cid"))
     named = classes.select("cid", "rep", "set_key").join(labels, "cid", "left").withColumn("comp", F.coalesce("b", "cid"))
     named = written(named.select("set_key", "rep", "comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = small_or_not(written(named.groupBy("comp").agg(F.min("rep").alias("component_id"))))
     reach = written(named.join(least, "comp").select("set_key", "component_id", F.col("comp").cast("string").cast("binary").alias("group")))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_key", *more).join(reach, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
