@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.seq import canonical, kmers, reverse_complement
+from ..session import small_or_not, written
 
 
 #: Places of a sequence that are cut together; longer ones become several rows first.
@@ -73,33 +75,63 @@ def kmer_positions(seqs: DataFrame, k: int) -> DataFrame:
     return explode_kmers(each, ["sample_id", "seq_id", "strand"], "s", k)
 
 
-def repair_ends(seqs: DataFrame, k: int) -> DataFrame:
+def _first_apart(width: int):
+    """Keeps, of places sorted by sequence, end and position, those that begin at or after the end
+    of the last one kept. Holds one place, however many a sequence has."""
+
+    def run(frames):
+        group, free = None, 0
+        for f in frames:
+            keep = []
+            for *place, pos in zip(f.sample_id, f.seq_id, f.strand, f.side, f.key, f.pos):
+                keep.append(place != group or pos >= free)
+                if keep[-1]:
+                    group, free = place, pos + width
+            yield f.loc[keep, ["sample_id", "side", "key", "w"]]
+
+    return run
+
+
+def repair_ends(seqs: DataFrame, k: int, apart: bool = False) -> DataFrame:
     """Adds ``padded_seq`` with dots replaced where another place of the sample continues an end.
 
     An end is the first or last k-1 characters of a padded contig, half dots and half bases. The
     other places are all windows of k-1 characters, on both strands, whose bases agree; the best
     one has fewest dots, then most occurrences, then comes first in the alphabet. The bases of
     the end are the join key, so no pattern is run against every sequence. Overlapping places of
-    one sequence all count here.
+    one strand all count; with ``apart`` only those that a search from its start finds one after
+    another, and few ends are then broadcast, so the windows that continue none are not shuffled.
+    ``seq_id`` tells the contigs of a sample apart.
     """
     half, width = k // 2, k - 1
     pad = seqs.withColumn("padded_seq", padded(F.col("seq"), k))
-    fwd = pad.select("sample_id", F.col("padded_seq").alias("s"))
-    both = fwd.unionByName(fwd.select("sample_id", reverse_complement(F.col("s")).alias("s")))
-    windows = explode_kmers(both, ["sample_id"], "s", width).withColumnRenamed("kmer", "w").groupBy("sample_id", "w").agg(F.count(F.lit(1)).alias("c"))
-    windows = windows.withColumn("dots", width - F.length(F.translate("w", ".", "")))
+    fwd = pad.select("sample_id", "seq_id", F.lit(True).alias("strand"), F.col("padded_seq").alias("s"))
+    both = fwd.unionByName(fwd.select("sample_id", "seq_id", F.lit(False).alias("strand"), reverse_complement(F.col("s")).alias("s")))
     ends = pad.where(F.length("seq") >= k).select("sample_id", F.explode(F.array(
         F.struct(F.lit("s").alias("side"), F.substr("padded_seq", F.lit(half + 1), F.lit(width - half)).alias("key")),
         F.struct(F.lit("e").alias("side"), F.substr("padded_seq", F.length("padded_seq") - width + 1, F.lit(width - half)).alias("key")),
     )).alias("x")).select("sample_id", "x.*").distinct()
-    best = F.min(F.struct("dots", (-F.col("c")).alias("c"), "w")).alias("b")
-
-    def side(name: str, part: Column) -> DataFrame:
-        found = ends.where(F.col("side") == name).join(windows.withColumn("key", part), ["sample_id", "key"])
-        return found.groupBy("sample_id", "key").agg(best).select("sample_id", "key", F.col("b.w").alias(name))
-
-    starts = side("s", F.substr(F.col("w"), F.lit(half + 1), F.lit(width - half))).withColumnRenamed("key", "sk")
-    stops = side("e", F.substr(F.col("w"), F.lit(1), F.lit(width - half))).withColumnRenamed("key", "ek")
+    tail, head = F.substr("w", F.lit(half + 1), F.lit(width - half)), F.substr("w", F.lit(1), F.lit(width - half))
+    sides = F.explode(F.array(F.struct(F.lit("s").alias("side"), tail.alias("key")), F.struct(F.lit("e").alias("side"), head.alias("key"))))
+    count, where = F.count(F.lit(1)).alias("c"), ["sample_id", "side", "key"]
+    if apart:
+        places = explode_kmers(both, ["sample_id", "seq_id", "strand"], "s", width).withColumnRenamed("kmer", "w").select("*", sides.alias("x"))
+        places = places.select("sample_id", "seq_id", "strand", "x.*", "pos", "w").join(small_or_not(written(ends)), where)
+        group = ["sample_id", "seq_id", "strand", "side", "key"]
+        places = places.select(*group, "pos", "w").repartition(*group).sortWithinPartitions(*group, "pos")
+        shape = StructType([places.schema[c] for c in [*where, "w"]])
+        counted = places.mapInPandas(_first_apart(width), shape).groupBy(*where, "w").agg(count)
+    else:
+        windows = explode_kmers(both, ["sample_id"], "s", width).withColumnRenamed("kmer", "w").groupBy("sample_id", "w").agg(count)
+        counted = windows.select("*", sides.alias("x")).select("sample_id", "w", "c", "x.*").join(ends, where)
+    dots = width - F.length(F.translate("w", ".", ""))
+    found = counted.groupBy(*where).agg(F.min(F.struct(dots.alias("dots"), (-F.col("c")).alias("c"), "w")).alias("b"))
+
+    def side(name: str) -> DataFrame:
+        return found.where(F.col("side") == name).select("sample_id", "key", F.col("b.w").alias(name))
+
+    starts = side("s").withColumnRenamed("key", "sk")
+    stops = side("e").withColumnRenamed("key", "ek")
     keyed = pad.withColumn("sk", F.substr("padded_seq", F.lit(half + 1), F.lit(width - half)))
     keyed = keyed.withColumn("ek", F.substr("padded_seq", F.length("padded_seq") - width + 1, F.lit(width - half)))
     out = keyed.join(starts, ["sample_id", "sk"], "left").join(stops, ["sample_id", "ek"], "left")

@@ -93,7 +93,7 @@ def compress(seqs: DataFrame, k: int = 51, repair: bool = True) -> DataFrame:
         raise ValueError("k must be odd and from 11 to 501")
     used = seqs.where(~F.col("ignored")) if "ignored" in seqs.columns else seqs
     used = K.check_bases(used.select("sample_id", "seq_id", "seq"))
-    graph: UnitigGraph = compact(K.repair_ends(used, k) if repair else used, k)
+    graph: UnitigGraph = compact(K.repair_ends(used, k, apart=True) if repair else used, k)
 
     def expand(g: SeqGraph, _: dict) -> SeqGraph:
         g.expand_repeats()

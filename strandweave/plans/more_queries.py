@@ -258,6 +258,19 @@ def repaired_ends(spark, sf_dir):
     return K.repair_ends(_bench(spark, sf_dir), 9).select("seq_id", "padded_seq")
 
 
+@query(
+    f"""WITH {_BENCH}, every AS (SELECT seq_id, true AS strand, s FROM p UNION ALL SELECT seq_id, false, reverse(translate(s, 'ACGT', 'TGCA')) FROM p), o AS (SELECT seq_id, strand, unnest(range(1, length(s) - 6)) AS pos, unnest(list_transform(range(1, length(s) - 6), lambda i: substr(s, i, 8))) AS w FROM every WHERE length(s) >= 8),
+    e AS (SELECT DISTINCT 's' AS side, substr(s, 5, 4) AS key FROM p WHERE length(seq) >= 9 UNION SELECT DISTINCT 'e', substr(s, length(s) - 7, 4) FROM p WHERE length(seq) >= 9),
+    m AS (SELECT seq_id, strand, side, key, pos, w FROM o JOIN e ON key = CASE WHEN side = 's' THEN substr(w, 5, 4) ELSE substr(w, 1, 4) END),
+    g AS (SELECT seq_id, strand, side, key, unnest(list_reduce(list_transform(list_sort(list(pos)), lambda x: [x]), lambda a, b: CASE WHEN b[1] >= a[-1] + 8 THEN list_concat(a, b) ELSE a END)) AS pos FROM m GROUP BY seq_id, strand, side, key),
+    c AS (SELECT side, key, w, count(*) AS c, 8 - length(replace(w, '.', '')) AS dots FROM m JOIN g USING (seq_id, strand, side, key, pos) GROUP BY side, key, w),
+    f AS (SELECT side, key, arg_min(w, (dots, -c, w)) AS w FROM c GROUP BY side, key)
+    SELECT seq_id, CASE WHEN length(seq) >= 9 THEN st.w || substr(s, 9, length(s) - 16) || en.w ELSE s END AS padded_seq FROM p LEFT JOIN f st ON st.side = 's' AND st.key = substr(s, 5, 4) LEFT JOIN f en ON en.side = 'e' AND en.key = substr(s, length(s) - 7, 4)"""
+)
+def repaired_ends_apart(spark, sf_dir):
+    return K.repair_ends(_bench(spark, sf_dir), 9, apart=True).select("seq_id", "padded_seq")
+
+
 # ---------------------------------------------------------------- graphs of many samples
 
 

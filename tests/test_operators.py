@@ -186,6 +186,32 @@ def test_repair_ends_of_contigs_under_2k(spark):
     assert got[4] == "." * 10 + whole[20:40] + "." * 10  # under k
 
 
+def test_repair_ends_apart(spark):
+    """Against a pattern search: low-complexity contigs, in which places overlap."""
+    import random
+    import re
+
+    from strandweave.operators.kmers import repair_ends
+
+    k, rng = 9, random.Random(5)
+    half, width = k // 2, k - 1
+    rows = [("s", i, "".join(rng.choice("AC") for _ in range(rng.randint(k, 40)))) for i in range(1, 25)]
+    rows += [("s", 25, "A" * 30), ("s", 26, "AC" * 20), ("t", 1, "ACGTACGTACGT"), ("t", 2, "GGGGGGGGGGGG")]
+    dotted = {r[:2]: "." * half + r[2] + "." * half for r in rows}
+    twin = str.maketrans("ACGT", "TGCA")
+
+    def best(sample, pattern):
+        strands = [x for (s, _), p in dotted.items() if s == sample for x in (p, p.translate(twin)[::-1])]
+        hits = [m for x in strands for m in re.findall(pattern, x)]
+        return min(hits, key=lambda m: (m.count("."), -hits.count(m), m))
+
+    frame = spark.createDataFrame(rows, "sample_id string, seq_id int, seq string")
+    want = {key: best(key[0], p[:width]) + p[width:-width] + best(key[0], p[-width:]) for key, p in dotted.items()}
+    got = {(r.sample_id, r.seq_id): r.padded_seq for r in repair_ends(frame, k, apart=True).collect()}
+    assert got == want
+    assert {(r.sample_id, r.seq_id): r.padded_seq for r in repair_ends(frame, k).collect()} != want
+
+
 def test_low_depth_removal():
     two = lambda a, b: SeqGraph.of([(1, "ACGT", 5.0), (2, "CC", a), (3, "GG", b)], [(1, 2), (2, 1), (1, 3), (3, 1)])
     graph = two(2.0, 1.0)
