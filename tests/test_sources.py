@@ -32,6 +32,12 @@ def test_fastq(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(r.read_idx, r.name, r.seq) for r in reads] == [(i, f"r{i}", "ACGT" * (i + 1)) for i in range(50)]
+    (tmp_path / "e.fastq").write_text("@a\nAC\n+\nII\n@b\n\n+\n\n\n\n\n")
+    assert [(r.name, r.seq) for r in fastq.read_fastq(spark, str(tmp_path / "e.fastq")).orderBy("read_idx").collect()] == [("a", "AC"), ("b", "")]
+    for bad in (b"a\nAC\n+\nII\n", b"@a\nAC\nII\n+\n", b"@a\nAC\n+\nI\n", b"@a\nAC\n", gzip.compress(text.encode())):
+        (tmp_path / "bad.fastq").write_bytes(bad)
+        with pytest.raises(Exception, match="bad.fastq: record"):
+            fastq.read_fastq(spark, str(tmp_path / "bad.fastq")).collect()
 
 
 LINES = ["H\tVN:Z:1.0\tKM:i:3", "S\t1\tACGTT\tDP:f:2.00", "S\t2\tGGC\tDP:f:1.00\tCL:Z:forestgreen", "L\t1\t+\t2\t-\t0M", "L\t2\t+\t1\t-\t0M", "P\t1\t1+,2-\t*\tLN:i:8\tFN:Z:a.fa\tHD:Z:c 1\tCL:i:1"]
