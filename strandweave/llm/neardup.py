@@ -47,6 +47,8 @@ ESTIMATE = 0.53
 #: Members and shingles (8 bytes each) of a block; a task holds two blocks. One set may be larger.
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1_000_000
+#: Documents, and BLOCK_SHINGLES shingles, for each file of a table between two steps.
+FILE_DOCS = 5000
 #: Pairs of two blocks that are intersected one by one rather than by a matrix product.
 FEW_PAIRS = 500
 
@@ -105,23 +107,32 @@ def sketches(docs: DataFrame, k: int | None = K) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", *more), run, ", ".join([schema, *(f"{c} binary" for c in more)]))
 
 
-def _classes(sketched: DataFrame) -> DataFrame:
+def _files(sketched: DataFrame) -> int:
+    """Files that a table between two steps, and the result, have at most, so that few documents are
+    not dealt over as many files as a shuffle has partitions. For each file on a ``file:`` path the
+    executor's JVM starts processes (chmod, without Hadoop's native library)."""
+    docs, shingles = sketched.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return max(1, -(-docs // FILE_DOCS), -(-(shingles or 0) // BLOCK_SHINGLES))
+
+
+def _classes(sketched: DataFrame, files: int) -> DataFrame:
     """cid, rep (least doc_id), n, set_key, sketch: one row per distinct non-empty set."""
     return written(
         sketched.where("n > 0")
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .coalesce(files)
         .select(F.monotonically_increasing_id().alias("cid"), "rep", "n", "set_key", "sketch")
     )
 
 
-def _lists(classes: DataFrame, k: int | None) -> DataFrame:
+def _lists(classes: DataFrame, k: int | None, files: int) -> DataFrame:
     """cid, n, central, vs: the rarest sketch values of each class that other classes
     retain too; classes without any are left out. ``central`` is how often a class's values occur
     in all: the original of many copies has most."""
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
     # written, so that the join is of two plain shuffles, in which a value of very many sketches can be split
-    shared = small_or_not(written(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")))
+    shared = small_or_not(written(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1").coalesce(files)))
     lists = (
         values.join(shared, "v")
         .groupBy("cid")
@@ -130,13 +141,13 @@ def _lists(classes: DataFrame, k: int | None) -> DataFrame:
     size = (F.col("n") if k is None else F.least(F.col("n"), F.lit(k))).cast("int")
     prefix = size - F.ceil(size * COMMON).cast("int") + 1
     kept = F.slice("l", F.lit(1), F.greatest(prefix - (size - F.size("l")), F.lit(0)))
-    return written(lists.select("cid", "n", "central", F.transform(kept, lambda x: x.v).alias("vs")).where("size(vs) > 0"))
+    return written(lists.select("cid", "n", "central", F.transform(kept, lambda x: x.v).alias("vs")).where("size(vs) > 0").coalesce(files))
 
 
-def _sets(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets(lists: DataFrame, classes: DataFrame, docs: DataFrame, files: int) -> DataFrame:
     """cid, set (sorted int64 hashes) of the classes in ``lists``, from one scan of the documents."""
     need = classes.select("cid", F.col("rep").alias("doc_id"), "set_key").join(small_or_not(lists.select("cid")), "cid")
-    need = small_or_not(written(need))
+    need = small_or_not(written(need.coalesce(files)))
 
     def own(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"cid": [], "set": []}
@@ -151,7 +162,7 @@ def _sets(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return out
 
     wanted = docs.select("doc_id", "text").join(need, "doc_id")
-    return written(map_arrow(wanted, own, "cid bigint, set binary").dropDuplicates(["cid"]))
+    return written(map_arrow(wanted, own, "cid bigint, set binary").dropDuplicates(["cid"]).coalesce(files))
 
 
 # ---------------------------------------------------------------- blocks
@@ -237,7 +248,7 @@ def _block_links(queries: list[tuple], members: list[tuple], k: int | None) -> I
             yield queries[i][0], members[j][0]
 
 
-def _compared(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+def _compared(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int | None, files: int) -> DataFrame:
     """(u, v): links of the queries with the members of the same group and band. Both have g, f
     (group, band), cid, comp, n. Every group is dealt out in blocks of members times blocks of
     queries by hash of cid, so that a hot group is many units of bounded size."""
@@ -246,7 +257,7 @@ def _compared(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int |
         count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
         return rows.groupBy("g", "f").agg(count.cast("int").alias(name))
 
-    dealt = small_or_not(written(blocks(members, "mb").join(blocks(queries, "qb"), ["g", "f"])))
+    dealt = small_or_not(written(blocks(members, "mb").join(blocks(queries, "qb"), ["g", "f"]).coalesce(files)))
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["g", "f", "qi", "mi", "role"]
@@ -278,43 +289,44 @@ def _compared(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int |
     return rows.repartition("g", "f", "qi", "mi").sortWithinPartitions(*keys).select(*keys, "cid", "comp", "set").mapInArrow(run, schema)
 
 
-def _with_heads(lists: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+def _with_heads(lists: DataFrame, sets: DataFrame, k: int | None, files: int) -> DataFrame:
     """Links of every list's members with its most central one."""
     members = lists.select("cid", "n", "central", F.explode("vs").alias("v"))
     heads = members.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    heads = small_or_not(written(heads.select("v", F.col("h.cid").alias("g"), F.col("h.n").alias("gn"))))
+    heads = small_or_not(written(heads.select("v", F.col("h.cid").alias("g"), F.col("h.n").alias("gn")).coalesce(files)))
     fits = F.least("n", "gn") * 100 >= F.greatest("n", "gn") * PERCENT
     met = members.join(heads, "v").where((F.col("cid") != F.col("g")) & fits)
-    met = written(met.select("g", F.lit(0).alias("f"), "cid", F.col("cid").alias("comp"), "n", "gn").distinct())
+    met = written(met.select("g", F.lit(0).alias("f"), "cid", F.col("cid").alias("comp"), "n", "gn").distinct().coalesce(files))
     queries = met.select("g", "f", F.col("g").alias("cid"), F.col("g").alias("comp"), F.col("gn").alias("n")).distinct()
-    return _compared(met.drop("gn"), queries, sets, k)
+    return _compared(met.drop("gn"), queries, sets, k, files)
 
 
-def _with_all(lists: DataFrame, labels: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+def _with_all(lists: DataFrame, labels: DataFrame, sets: DataFrame, k: int | None, files: int) -> DataFrame:
     """Links across components between members of one list, by group and band (step 4)."""
     known = lists.join(small_or_not(labels.withColumnRenamed("a", "cid")), "cid", "left")
     members = known.select("cid", "n", "central", F.coalesce("b", "cid").alias("comp"), F.explode("vs").alias("v"))
     ends = members.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "cid")).alias("h"))
-    heads = small_or_not(written(ends.where("low <> high").select("v", F.col("h.cid").alias("g"))))
+    heads = small_or_not(written(ends.where("low <> high").select("v", F.col("h.cid").alias("g")).coalesce(files)))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-    met = written(members.join(heads, "v").select("g", band.alias("f"), "cid", "comp", "n").distinct())
+    met = written(members.join(heads, "v").select("g", band.alias("f"), "cid", "comp", "n").distinct().coalesce(files))
     largest = met.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("x"))
-    largest = small_or_not(written(largest.select("g", F.col("x.comp").alias("main"))))
+    largest = small_or_not(written(largest.select("g", F.col("x.comp").alias("main")).coalesce(files)))
     # rounding may put a pair at the very limit two bands apart: one more is looked at on each side
     bands = F.explode(F.sequence(F.col("f") - 2, F.col("f") + 2))
     queries = met.join(largest, "g").where("comp <> main").select("g", bands.alias("f"), "cid", "comp", "n")
-    return _compared(met, queries, sets, k)
+    return _compared(met, queries, sets, k, files)
 
 
-def class_labels(classes: DataFrame, docs: DataFrame, k: int | None = K) -> DataFrame:
+def class_labels(classes: DataFrame, docs: DataFrame, k: int | None, files: int) -> DataFrame:
     """(a, b): component of every class that has one of other classes too."""
-    lists = _lists(classes, k)
-    sets = _sets(lists, classes, docs)
-    labels = components(_with_heads(lists, sets, k))
-    links = written(_with_all(lists, labels, sets, k))
+    lists = _lists(classes, k, files)
+    sets = _sets(lists, classes, docs, files)
+    labels = components(_with_heads(lists, sets, k, files), files)
+    # distinct, so that the blocks are compared in as many tasks as there are partitions
+    links = written(_with_all(lists, labels, sets, k, files).distinct().coalesce(files))
     if links.isEmpty():
         return labels
-    return components(links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    return components(links.unionByName(labels.select(F.col("a").alias("u"), F.col("b").alias("v"))), files)
 
 
 def near_duplicates(docs: DataFrame, k: int | None = K) -> DataFrame:
@@ -327,26 +339,28 @@ def near_duplicates(docs: DataFrame, k: int | None = K) -> DataFrame:
     are all returned alike; of several texts under one id each has the component of its text.
     Very long texts are read whole. An empty table gives no rows. Other columns are not read.
     """
-    out = _grouped(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), k).select("doc_id", "n_shingles", "component_id", "kept")
+    out = _grouped(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), k)[0].select("doc_id", "n_shingles", "component_id", "kept")
     lost = sketches(docs.where(F.col("doc_id").isNull()).select("doc_id", "text")).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(lost)
 
 
-def _grouped(known: DataFrame, k: int | None = K) -> DataFrame:
+def _grouped(known: DataFrame, k: int | None = K) -> tuple[DataFrame, int]:
     """doc_id, n_shingles, component_id, kept of rows with an id, and ``group``: one binary per
     component, null without shingles. Two components may have one component_id if one id has
-    several texts. text_key is handed on."""
+    several texts. text_key is handed on. And the bound on a table's files (:func:`_files`)."""
     more = [c for c in ("text_key",) if c in known.columns]
     sketched = written(sketches(known, k))
-    classes = _classes(sketched)
-    labels = small_or_not(class_labels(classes, known, k).withColumnRenamed("a", "cid"))
+    files = _files(sketched)
+    classes = _classes(sketched, files)
+    labels = small_or_not(class_labels(classes, known, k, files).withColumnRenamed("a", "cid"))
     named = classes.select("cid", "rep", "set_key").join(labels, "cid", "left").withColumn("comp", F.coalesce("b", "cid"))
-    named = written(named.select("set_key", "rep", "comp"))
-    least = small_or_not(written(named.groupBy("comp").agg(F.min("rep").alias("component_id"))))
-    reach = written(named.join(least, "comp").select("set_key", "component_id", F.col("comp").cast("string").cast("binary").alias("group")))
+    named = written(named.select("set_key", "rep", "comp").coalesce(files))
+    least = small_or_not(written(named.groupBy("comp").agg(F.min("rep").alias("component_id")).coalesce(files)))
+    reach = written(named.join(least, "comp").select("set_key", "component_id", F.col("comp").cast("string").cast("binary").alias("group")).coalesce(files))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_key", *more).join(reach, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "group", *more)
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "group", *more)
+    return out.coalesce(files), files
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -358,13 +372,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = next(n for n in ("text_key" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     text_key = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))
     named = docs.where(F.col("doc_id").isNotNull()).withColumn(key, text_key)
-    groups = written(_grouped(named.select("doc_id", "text", F.col(key).alias("text_key"))).select("doc_id", "text_key", "kept", "group"))
+    groups, files = _grouped(named.select("doc_id", "text", F.col(key).alias("text_key")))
+    groups = written(groups.select("doc_id", "text_key", "kept", "group"))
     own = F.coalesce("group", F.concat(F.lit(b"-"), F.col("doc_id").cast("string").cast("binary"), F.lit(b" "), F.col("text_key")))
     kept = groups.where("kept").groupBy(own.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     kept = kept.select("x.*").distinct().withColumn("one", F.lit(True))
     rows = groups.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(kept, ["doc_id", "text_key"], "left")
     # most documents stay and occur once: the others are named, so that most texts need no shuffle
-    other = written(rows.where("one is null or n > 1").select("doc_id", F.col("text_key").alias(key), "one"))
+    other = written(rows.where("one is null or n > 1").select("doc_id", F.col("text_key").alias(key), "one").coalesce(files))
     once = named.join(small_or_not(other.drop("one")), ["doc_id", key], "left_anti")
     more = named.join(small_or_not(other.where("one").drop("one")), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return once.unionByName(more).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

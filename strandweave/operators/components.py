@@ -11,7 +11,7 @@ from ..session import small_or_not, written
 TASK_EDGES = 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(a, b) for every node ``a`` of the edges (u, v): ``b`` is the least node of its component;
     least nodes themselves are left out.
 
@@ -19,9 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic number of rounds whatever the shape. Minima are combined before the shuffle and
     written, so that the join of a hub's edges with its one minimum is a broadcast, or a join whose
     hub side adaptive execution can split. Nulls: an edge with a null end joins nothing. Repeated
-    edges and loops change nothing; no edges, no rows.
+    edges and loops change nothing; no edges, no rows. ``files`` bounds the files of the edges as
+    they are first written, where the caller knows how few they are.
     """
-    stars = written(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("u <> v").distinct())
+    first = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("u <> v").distinct()
+    stars = written(first if files is None else first.coalesce(files))
     tasks = max(1, -(-stars.count() // TASK_EDGES))
 
     def least(pairs: DataFrame) -> DataFrame:

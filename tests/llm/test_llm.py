@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and odd inputs."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import chatformat, decontam, fingerprint, htmltext, langid, neardup, packing, quality, sharding, tokencount
 from strandweave.llm.common import held_out
+from strandweave.session import shared_dir
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [None, "", " \n\t ", "a", "one two three", "ß é 世界 \U0001f600", "!!! ???", "x" * 30_000, "word " * 4000]
@@ -82,6 +84,25 @@ def test_near_duplicates_in_small_blocks_without_broadcast(spark, monkeypatch, b
     assert got == brute_components(texts)
 
 
+def test_near_duplicates_write_few_files_from_many_partitions(spark):
+    """Each file has an executor start processes: 60 partitions of a few rows are not 60 files."""
+    folder, many = shared_dir(spark), {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, old = set(os.listdir(folder)), {name: spark.conf.get(name, None) for name in many}
+    texts = near_texts()
+    try:
+        for name, value in many.items():
+            spark.conf.set(name, value)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts).coalesce(2)).collect()}
+        kept = neardup.keep_one(documents(spark, texts).coalesce(2)).count()
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert got == brute_components(texts)
+    assert kept == len({c for _, c in got.values()})
+    files = [sum(x.startswith("part-") for x in os.listdir(f"{folder}/{table}")) for table in set(os.listdir(folder)) - before]
+    assert len(files) > 20 and max(files) <= 2
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
