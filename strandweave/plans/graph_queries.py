@@ -104,21 +104,24 @@ _VOTE = """v AS (SELECT o_custkey AS cluster, o_orderkey AS k, CASE o_orderstatu
 t AS (SELECT cluster, x, sum(w) AS w FROM v GROUP BY ALL), b AS (SELECT cluster, x, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, x) AS r FROM t WHERE w > 0)"""
 
 
-def _votes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Every order is a path 1, x, 2, x being its status; weights go by the order's number."""
+def _votes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every order is a path 1, x, 2, x being its status; weights go by the order's number. Graphs,
+    weights, and the keys of the clusters that have any weight."""
     x = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 4).otherwise(5)
     orders = table(spark, sf_dir, "orders").select(F.lit("s").alias("sample_id"), F.col("o_custkey").cast("int").alias("cluster"), F.col("o_orderkey").cast("int").alias("seq_id"), x.alias("x"))
     steps = orders.select(*_KEYS, "seq_id", F.posexplode(F.array(F.lit(1), F.col("x"), F.lit(2))).alias("idx", "unitig"))
     letters = F.create_map(F.lit(1), F.lit("AAAA"), F.lit(2), F.lit("AAAAAA"), F.lit(3), F.lit("CCC"), F.lit(4), F.lit("GGG"), F.lit(5), F.lit("TTT"))
     unitigs = steps.groupBy(*_KEYS, F.col("unitig").alias("number")).agg(F.count(F.lit(1)).alias("depth")).withColumn("seq", letters[F.col("number")])
-    return _rows(unitigs, steps), orders.select("sample_id", "seq_id", (F.col("seq_id") % 3).alias("consensus_weight"))
+    weights = orders.select(*_KEYS, "seq_id", (F.col("seq_id") % 3).alias("consensus_weight"))
+    return _rows(unitigs, steps), weights.drop("cluster"), weights.where("consensus_weight > 0").select(*_KEYS).distinct()
 
 
 @query(f"WITH {_VOTE} SELECT cluster::INT AS cluster, 'AAAA' || CASE x WHEN 3 THEN 'CCC' WHEN 4 THEN 'GGG' ELSE 'TTT' END || 'AAAAAA' AS seq FROM b WHERE r = 1")
 def weighted_votes(spark, sf_dir):
-    """The consensus of two anchors by weighted paths; clusters without any weight are left out."""
-    rows, weights = _votes(spark, sf_dir)
-    made, _, _ = A.unpacked(A.resolve(rows, weights), _KEYS)
+    """The consensus of two anchors by weighted paths; clusters without any weight are left out (where
+    all their paths are one, they have no bridge and keep their links, which are merged too)."""
+    rows, weights, voted = _votes(spark, sf_dir)
+    made, _, _ = A.unpacked(A.resolve(rows.join(voted, _KEYS, "left_semi"), weights), _KEYS)
     return made.where(F.length("seq") == 13).select("cluster", "seq")
 
 
