@@ -6,25 +6,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import written
+from ..session import small_or_not, written
+
+#: Pairs within unitigs that one task sums up, and tasks at most; the sums may spill.
+TASK_PAIRS, MOST_TASKS = 1 << 20, 2000
+
+
+def _lists(members: DataFrame, keys: list[str], seq: str, unitig: str, length: str) -> DataFrame:
+    """keys, w, c, without: a unitig's length, the sorted *set* of its sequences, and whether rows
+    without a sequence have it too. Written, since it is read three times."""
+    held = members.where(F.col(unitig).isNotNull())
+    for k in keys:
+        held = held.where(F.col(k).isNotNull())
+    s = F.col(seq)
+    own = held.groupBy(*keys, F.col(unitig).alias("u")).agg(F.max(length).alias("w"), F.sort_array(F.collect_set(s)).alias("c"), F.max(s.isNull()).alias("without"))
+    return written(own.drop("u"))
+
+
+def _shared(lists: DataFrame, keys: list[str], pairs: int, span: float | None) -> DataFrame:
+    """keys, a, b, ab with a <= b: the length of the unitigs that both have. What is shuffled, by a,
+    is a row per sequence and unitig with the sequences from its own on, as distances from it where
+    ids are whole numbers (``span`` is the greatest), not a row per pair; sums are made behind that."""
+    own, kind = F.col("a"), lists.schema["c"].dataType.elementType.simpleString()
+    small = "smallint" if span is not None and span < 1 << 16 else "int" if span is not None and span < 1 << 32 else None
+    low = {"smallint": 1 << 15, "int": 1 << 31}.get(small, 0)
+    rest = F.slice("c", F.col("i") + 1, F.size("c") - F.col("i"))
+    near = F.transform(rest, lambda x: (x.cast("bigint") - own.cast("bigint") - F.lit(low)).cast(small)) if small else rest
+    rows = lists.select(*keys, "w", "c", F.posexplode("c").alias("i", "a")).select(*keys, "a", "w", near.alias("near"))
+    rows = rows.repartition(max(1, min(MOST_TASKS, pairs // TASK_PAIRS)), *keys, "a").select(*keys, "a", "w", F.explode("near").alias("x"))
+    b = (F.col("x").cast("bigint") + own.cast("bigint") + F.lit(low)).cast(kind) if small else F.col("x")
+    return rows.select(*keys, "a", b.alias("b"), "w").groupBy(*keys, "a", "b").agg(F.sum("w").alias("ab"))
+
 
 def containment(members: DataFrame, keys: list[str], seq: str, unitig: str, length: str) -> DataFrame:
-    """keys, a, b, dist: 1 - length(shared unitigs) / length(unitigs of a), over *sets* of
-    unitigs. Rows exist for pairs that share a unitig, a = b included; any other pair has
-    distance 1. The join runs over unitigs, so its size is that of the overlaps; the sets are written
-    first, so that adaptive execution can split a unitig that most sequences have."""
-    sets = written(members.groupBy(*keys, F.col(seq).alias("s"), F.col(unitig).alias("u")).agg(F.max(length).alias("w")))
-    totals = sets.groupBy(*keys, F.col("s").alias("a")).agg(F.sum("w").alias("t"))
-    left, right = sets.select(*keys, F.col("s").alias("a"), "u", "w"), sets.select(*keys, F.col("s").alias("b"), "u")
-    shared = left.join(right, [*keys, "u"]).groupBy(*keys, "a", "b").agg(F.sum("w").alias("ab"))
-    dist = F.lit(1.0) - F.col("ab").cast("double") / F.col("t").cast("double")
-    return shared.join(totals, [*keys, "a"]).select(*keys, "a", "b", dist.alias("dist"))
+    """keys, a, b, dist, back: 1 - length(shared unitigs) / length(unitigs of a), over *sets* of
+    unitigs, and the same from b to a. Rows exist for pairs that share a unitig, a = b included; any
+    other pair has distance 1. Only pairs with a <= b are summed up, out of lists by unitig."""
+    lists = _lists(members, keys, seq, unitig, length)
+    n, whole = F.size("c").cast("bigint"), lists.schema["c"].dataType.elementType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    reach = F.element_at("c", -1).cast("double") - F.element_at("c", 1).cast("double") if whole else F.lit(None).cast("double")
+    filled = lists.where(F.size("c") > 0)
+    pairs, span, without = filled.agg(F.coalesce(F.sum((n * (n + 1) / 2).cast("bigint")), F.lit(0)), F.max(reach), F.max("without")).first()
+    totals = small_or_not(written(filled.select(*keys, F.explode("c").alias("s"), "w").groupBy(*keys, "s").agg(F.sum("w").alias("t"))))
+    total = lambda side: totals.select(*keys, F.col("s").alias(side), F.col("t").alias(f"t{side}"))
+    far = lambda side: F.lit(1.0) - F.col("ab").cast("double") / F.col(f"t{side}").cast("double")
+    both = _shared(filled, keys, int(pairs), span).join(total("a"), [*keys, "a"]).join(total("b"), [*keys, "b"]).select(*keys, "a", "b", far("a").alias("dist"), far("b").alias("back"))
+    there, twin = F.struct("a", "b", "dist", "back"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("dist"), F.col("dist").alias("back"))
+    out = both.select(*keys, F.explode(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, twin))).alias("p")).select(*keys, "p.*")
+    if without:  # rows without a sequence are a sequence that others are compared with, and itself has no distance
+        none = filled.where("without").select(*keys, F.explode("c").alias("a"), "w").groupBy(*keys, "a").agg(F.sum("w").alias("ab")).join(total("a"), [*keys, "a"])
+        out = out.unionByName(none.select(*keys, "a", F.lit(None).cast(out.schema["b"].dataType).alias("b"), far("a").alias("dist"), F.lit(None).cast("double").alias("back")))
+    return out
+
+
+def _with_back(distances: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, dist, back of stored pairs that have a twin."""
+    if "back" in distances.columns:
+        return distances.where(F.col("back").isNotNull())
+    other = distances.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("dist").alias("back"))
+    return distances.join(other, [*keys, "a", "b"])
 
 
 def symmetric(distances: DataFrame, keys: list[str]) -> DataFrame:
     """keys, a, b, dist with the greater of both directions; every stored pair has its twin."""
-    other = distances.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("dist").alias("back"))
-    return distances.join(other, [*keys, "a", "b"]).select(*keys, "a", "b", F.greatest("dist", "back").alias("dist"))
+    return _with_back(distances, keys).select(*keys, "a", "b", F.greatest("dist", "back").alias("dist"))
 
 
 def contained_clusters(distances: DataFrame, clusters: DataFrame, cutoff: float, keys: list[str] = ()) -> DataFrame:
@@ -32,10 +77,10 @@ def contained_clusters(distances: DataFrame, clusters: DataFrame, cutoff: float,
     d(inner, outer) < d(outer, inner) and d(inner, outer) < cutoff. Pairs without a shared unitig
     have distance 1 and never count, so stored distances are enough."""
     size = clusters.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"))
-    c = lambda side: clusters.select(*keys, F.col("seq").alias(side), F.col("cluster").alias(f"c{side}"))
-    back = distances.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("dist").alias("back"))
-    both = distances.join(back, [*keys, "a", "b"]).join(c("a"), [*keys, "a"]).join(c("b"), [*keys, "b"]).where("ca <> cb")
-    hits = both.where((F.col("dist") < F.col("back")) & (F.col("dist") < cutoff))
+    named = small_or_not(clusters.select(*keys, "seq", "cluster"))
+    c = lambda side: named.select(*keys, F.col("seq").alias(side), F.col("cluster").alias(f"c{side}"))
+    near = _with_back(distances, keys).where((F.col("dist") < F.col("back")) & (F.col("dist") < cutoff)).select(*keys, "a", "b")
+    hits = near.join(c("a"), [*keys, "a"]).join(c("b"), [*keys, "b"]).where("ca <> cb")
     hits = hits.groupBy(*keys, F.col("ca").alias("inner"), F.col("cb").alias("outer")).agg(F.count(F.lit(1)).alias("k"))
     n = lambda name: size.select(*keys, F.col("cluster").alias(name), F.col("n").alias(f"n_{name}"))
     share = F.col("k") / (F.col("n_inner") * F.col("n_outer"))

@@ -117,7 +117,7 @@ def pair_distances(rows: DataFrame) -> DataFrame:
     """sample_id, a, b, dist of sequences that share a unitig."""
     unitigs, _, steps = unpacked(rows, ["sample_id"])
     sized = steps.withColumn("number", F.abs("unitig")).join(unitigs.select("sample_id", "number", F.length("seq").alias("length")), ["sample_id", "number"])
-    return D.containment(sized, ["sample_id"], "seq_id", "number", "length")
+    return D.containment(sized, ["sample_id"], "seq_id", "number", "length").drop("back")
 
 
 def tree_clusters(distances: DataFrame, keys: list[str], cutoff: float = 0.2) -> DataFrame:
