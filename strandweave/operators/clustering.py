@@ -8,10 +8,6 @@ from math import sqrt
 
 from .trees import Tree, upgma
 
-#: Contigs of one sample at most: a tree needs all pairs of them in one task.
-MOST_CONTIGS = 5000
-
-
 @dataclass(frozen=True)
 class Contig:
     id: int
@@ -69,18 +65,18 @@ def check_contigs(contigs: list[Contig], most: float) -> None:
     mean = len(contigs) / len({c.filename for c in contigs})
     if mean > most:
         raise ValueError(f"{mean:.1f} contigs per assembly on average; at most {most} are allowed")
-    if len(contigs) > MOST_CONTIGS:
-        raise ValueError(f"{len(contigs)} contigs in one sample; at most {MOST_CONTIGS} can be clustered")
 
 
-def contained(inner: Cluster, outer: Cluster, distance: dict[tuple[int, int], float], cutoff: float) -> bool:
-    """Most pairs lie nearer from inside to outside than back, and nearer than the cutoff."""
-    near = 0
-    for a in inner.contigs:
-        for b in outer.contigs:
-            there, back = distance.get((a.id, b.id), 1.0), distance.get((b.id, a.id), 1.0)
-            near += there < back and there < cutoff
-    return 2 * near > len(inner.contigs) * len(outer.contigs)
+def containers(found: list[Cluster], distance: dict[tuple[int, int], float], cutoff: float) -> dict[int, list[Cluster]]:
+    """By number of a cluster, those that contain it, in their order: most pairs lie nearer from inside
+    to outside than back, and nearer than the cutoff."""
+    home = {x.id: k for k, c in enumerate(found) for x in c.contigs}
+    near = Counter((home[a], home[b]) for (a, b), d in distance.items() if d < cutoff and d < distance.get((b, a), 1.0) and a in home and b in home)
+    out: dict[int, list[Cluster]] = {}
+    for (i, o), n in sorted(near.items()):
+        if i != o and 2 * n > len(found[i].contigs) * len(found[o].contigs):
+            out.setdefault(found[i].number, []).append(found[o])
+    return out
 
 
 def judged(tree: Tree, nodes: list[int], contigs: list[Contig], distance: dict[tuple[int, int], float], cutoff: float, least: int, manual: list[int] = ()) -> list[Cluster]:
@@ -100,8 +96,9 @@ def judged(tree: Tree, nodes: list[int], contigs: list[Contig], distance: dict[t
         for c in free:
             if c.support < least:
                 c.reasons.append("present in too few assemblies")
+        around = containers(found, distance, cutoff)
         for c in free:
-            holder = next((o for o in found if o is not c and o.passed and contained(c, o, distance, cutoff)), None)
+            holder = next((o for o in around.get(c.number, ()) if o.passed), None)
             if holder:
                 c.reasons.append(f"contained within cluster {holder.number}")
     return found
@@ -122,8 +119,9 @@ def scores(clusters: list[Cluster]) -> tuple[float, float, float]:
 def tree_of(contigs: list[Contig], distance: dict[tuple[int, int], float]) -> Tree:
     """Tree over the greater distance of both directions, at most 0.5 high."""
     ids = sorted(c.id for c in contigs)
-    far = lambda a, b: max(distance.get((a, b), 1.0), distance.get((b, a), 1.0))
-    tree = upgma(ids, {(a, b): far(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]})
+    own = set(ids)
+    far = {(a, b): max(d, distance.get((b, a), 1.0)) for (a, b), d in distance.items() if a < b and a in own and b in own}
+    tree = upgma(ids, far, missing=1.0)
     tree.normalise()
     return tree
 

@@ -18,7 +18,7 @@ from ..functions import stats
 from ..operators import distances as D
 from ..operators import kmers as K
 from ..operators.compaction import UnitigGraph, compact
-from ..operators.clustering import MOST_CONTIGS, whole_median
+from ..operators.clustering import whole_median
 from ..operators.resolving import bridge_graph
 from ..operators.resolving import resolve as resolve_graph
 from ..operators.seqgraph import SeqGraph
@@ -125,15 +125,13 @@ def tree_clusters(distances: DataFrame, keys: list[str], cutoff: float = 0.2) ->
     cutoff. A group is the contigs of one sample; pairs that are not stored have distance 1."""
     if not 0 < cutoff < 1:
         raise ValueError("the cutoff must lie between 0 and 1")
-    both = D.symmetric(distances, keys)
+    both = distances.where("b is not null").select(*keys, "a", "b", "dist")
     schema = ", ".join(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys) + ", seq bigint, cluster int, height double"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(frame["a"]))
-        if len(ids) > MOST_CONTIGS:
-            raise ValueError(f"{len(ids)} contigs in one group; at most {MOST_CONTIGS} can be clustered")
-        known = {(a, b): d for a, b, d in zip(frame["a"], frame["b"], frame["dist"], strict=True)}
-        tree = upgma(ids, {(a, b): known.get((a, b), 1.0) for i, a in enumerate(ids) for b in ids[i + 1 :]})
+        known = dict(zip(zip(frame["a"], frame["b"], strict=True), frame["dist"], strict=True))
+        tree = upgma(ids, {(a, b): max(d, known.get((b, a), 1.0)) for (a, b), d in known.items() if a < b}, missing=1.0)
         tree.normalise()
         out = [{**{k: frame[k].iloc[0] for k in keys}, "seq": s, "cluster": i, "height": tree.height.get(n, 0.0)} for i, n in enumerate(tree.cut(cutoff), 1) for s in tree.tips(n)]
         return pd.DataFrame(out)

@@ -20,7 +20,7 @@ from ..operators import distances as D
 from ..operators import kmers as K
 from ..operators import paths as P
 from ..operators import reads as R
-from ..session import table
+from ..session import small_or_not, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -448,7 +448,7 @@ def upgma_clusters(spark, sf_dir):
     from .assembly import tree_clusters
 
     nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("sample_id"))
-    rows = _members(spark, sf_dir).join(nation, "l_suppkey")
+    rows = _members(spark, sf_dir).join(small_or_not(nation), "l_suppkey")
     return tree_clusters(D.containment(rows, ["sample_id"], "l_suppkey", "l_partkey", "p_size"), ["sample_id"], 0.9)
 
 
