@@ -146,7 +146,7 @@ def decompressed(spark, sf_dir):
 )
 def clustered_pairs(spark, sf_dir):
     """Suppliers as contigs, near to their neighbour's number only: trees, cut, refinement, checks and
-    numbers of the clusters of every sample."""
+    numbers of the clusters of every sample. Two files hold all contigs, so there is no limit per file."""
     seqs = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("s"), F.floor(F.col("s_nationkey") / 3)).alias("sample_id"), F.col("s_suppkey").alias("seq_id"), F.concat(F.lit("f"), F.col("s_suppkey") % 2).alias("filename"),
         (F.abs(F.floor("s_acctbal")).cast("bigint") + 1).alias("length"), F.lit(1).alias("cluster_weight"), F.lit(False).alias("trusted"),
@@ -154,7 +154,7 @@ def clustered_pairs(spark, sf_dir):
     b = F.col("seq_id") + 1 - 2 * (F.col("seq_id") % 2)
     near = seqs.select("sample_id", F.col("seq_id").alias("a"), b.alias("b"), F.lit(0.02).alias("dist"))
     near = near.join(seqs.select("sample_id", F.col("seq_id").alias("b")), ["sample_id", "b"], "left_semi")
-    out = L.cluster(seqs, near, min_assemblies=1)
+    out = L.cluster(seqs, near, min_assemblies=1, max_contigs=1e9)
     return out.select("sample_id", "seq_id", "cluster", "passed", F.round("distance", 9).alias("distance"))
 
 
