@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..session import small_or_not, written
 
-#: Pairs within unitigs that one task sums up, and tasks at most; the sums may spill.
-TASK_PAIRS, MOST_TASKS = 1 << 20, 2000
+#: Pairs within unitigs that one block of sequences comes first in, and blocks at about most; the sums may spill.
+BLOCK_PAIRS, MOST_BLOCKS = 1 << 22, 2000
+#: Draws of sequences per block, to set its bounds; ids that leave Python at once.
+DRAWS, SENT = 16, 1 << 20
 
 
 def _lists(members: DataFrame, keys: list[str], seq: str, unitig: str, length: str) -> DataFrame:
@@ -23,19 +32,67 @@ def _lists(members: DataFrame, keys: list[str], seq: str, unitig: str, length: s
     return written(own.drop("u"))
 
 
-def _shared(lists: DataFrame, keys: list[str], pairs: int, span: float | None) -> DataFrame:
-    """keys, a, b, ab with a <= b: the length of the unitigs that both have. What is shuffled, by a,
-    is a row per sequence and unitig with the sequences from its own on, as distances from it where
-    ids are whole numbers (``span`` is the greatest), not a row per pair; sums are made behind that."""
-    own, kind = F.col("a"), lists.schema["c"].dataType.elementType.simpleString()
-    small = "smallint" if span is not None and span < 1 << 16 else "int" if span is not None and span < 1 << 32 else None
-    low = {"smallint": 1 << 15, "int": 1 << 31}.get(small, 0)
-    rest = F.slice("c", F.col("i") + 1, F.size("c") - F.col("i"))
-    near = F.transform(rest, lambda x: (x.cast("bigint") - own.cast("bigint") - F.lit(low)).cast(small)) if small else rest
-    rows = lists.select(*keys, "w", "c", F.posexplode("c").alias("i", "a")).select(*keys, "a", "w", near.alias("near"))
-    rows = rows.repartition(max(1, min(MOST_TASKS, pairs // TASK_PAIRS)), *keys, "a").select(*keys, "a", "w", F.explode("near").alias("x"))
-    b = (F.col("x").cast("bigint") + own.cast("bigint") + F.lit(low)).cast(kind) if small else F.col("x")
-    return rows.select(*keys, "a", b.alias("b"), "w").groupBy(*keys, "a", "b").agg(F.sum("w").alias("ab"))
+def _cuts(totals: DataFrame, keys: list[str], pairs: int) -> dict[tuple, list]:
+    """By keys (small groups may lack), the first sequence of each block but the first; blocks come first in
+    about as many pairs each. They are set by a few draws of sequences, weighted by their pairs; where a block
+    ends changes no result."""
+    grain = max(BLOCK_PAIRS, pairs / MOST_BLOCKS) / DRAWS
+    draws = F.floor(F.col("p") / grain + F.pmod(F.xxhash64("s"), F.lit(1 << 20)) / (1 << 20))
+    cuts, full = defaultdict(list), defaultdict(int)
+    for *key, s, n in totals.select(*keys, "s", draws.alias("n")).where("n > 0").orderBy(*keys, "s").collect():
+        k = tuple(key)
+        if full[k] and full[k] + n > DRAWS:
+            cuts[k].append(s)
+            full[k] = 0
+        full[k] += n
+    return {k: cuts[k] for k in full}
+
+
+def _in_blocks(lists: DataFrame, keys: list[str], cuts: dict[tuple, list], tasks: int, low: int, kind: T.DataType | None) -> DataFrame:
+    """keys, task, w, first, m, near: per list and block of sequences in it, the list from the block's ``first``
+    on, of which ``m`` are the block's; as distances from the first less ``low``, if of a ``kind``."""
+    field = lists.schema["c"].dataType.elementType
+    schema = T.StructType([*(lists.schema[k] for k in keys), T.StructField("task", T.IntegerType()), lists.schema["w"], T.StructField("first", field), T.StructField("m", T.IntegerType()), T.StructField("near", T.ArrayType(kind or field))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            lengths, flat = batch.column("c").value_lengths().to_numpy(), batch.column("c").flatten()
+            ends, row, ids = np.cumsum(lengths), np.repeat(np.arange(len(lengths)), lengths), flat.to_numpy(zero_copy_only=False)
+            sides, block = {k: np.array(v, dtype=ids.dtype) for k, v in cuts.items() if v}, np.zeros(len(ids), np.int64)
+            named = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * len(lengths)
+            for key, start, end in zip(named, ends - lengths, ends, strict=True):
+                if key in sides:
+                    block[start:end] = sides[key].searchsorted(ids[start:end], "right")
+            at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1]))[: len(ids)])
+            m, size = np.diff(np.append(at, len(ids))), ends[row[at]] - at
+            piece = np.cumsum(size) // SENT  # results leave in pieces
+            for x in np.split(np.arange(len(at)), np.flatnonzero(np.diff(piece)) + 1) if len(at) else ():
+                stops = np.cumsum(size[x])
+                take = np.repeat(at[x] - (stops - size[x]), size[x]) + np.arange(stops[-1])
+                near = pa.array(ids[take].astype(np.int64) - np.repeat(ids[at[x]].astype(np.int64), size[x]) - low).cast(target.field("near").type.value_type) if kind else flat.take(pa.array(take))
+                of = lambda name: batch.column(name).take(pa.array(row[at[x]]))  # noqa: B023, E731
+                task = pa.array((of("task").to_numpy() + block[at[x]]) % tasks)
+                columns = [*map(of, keys), task, of("w"), flat.take(pa.array(at[x])), pa.array(m[x]), pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), near)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    task = F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int") if keys else F.lit(0)
+    return lists.select(*keys, task.alias("task"), "w", "c").mapInArrow(run, schema)
+
+
+def _shared(lists: DataFrame, totals: DataFrame, keys: list[str], pairs: int, span: float | None) -> DataFrame:
+    """keys, a, b, ab with a <= b: the length of the unitigs that both have. What is shuffled is a list once
+    for each block of sequences that it has any of, not a row per sequence or per pair; all sums of one
+    block are made in one task. Ids of whole numbers (``span`` is the greatest of a list) go as distances."""
+    kind, low = (T.ShortType(), 1 << 15) if span is not None and span < 1 << 16 else (T.IntegerType(), 1 << 31) if span is not None and span < 1 << 32 else (None, 0)
+    cuts = _cuts(totals, keys, pairs)
+    tasks = max(1, sum(map(len, cuts.values())) + min(MOST_BLOCKS, len(cuts)))
+    rows = _in_blocks(lists, keys, cuts, tasks, low, kind).repartitionById(tasks, F.col("task"))
+    rows = rows.select(*keys, "task", "w", "first", "near", F.posexplode(F.slice("near", F.lit(1), F.col("m"))).alias("i", "x"))
+    rest = F.slice("near", F.col("i") + 1, F.size("near") - F.col("i"))
+    rows = rows.select(*keys, "task", "w", "first", "x", F.explode(rest).alias("y"))
+    own = lambda x: (F.col(x).cast("bigint") + F.col("first").cast("bigint") + F.lit(low)).cast(lists.schema["c"].dataType.elementType) if kind else F.col(x)
+    return rows.select(*keys, "task", own("x").alias("a"), own("y").alias("b"), "w").groupBy(*keys, "task", "a", "b").agg(F.sum("w").alias("ab")).drop("task")
 
 
 def containment(members: DataFrame, keys: list[str], seq: str, unitig: str, length: str) -> DataFrame:
@@ -47,10 +104,12 @@ def containment(members: DataFrame, keys: list[str], seq: str, unitig: str, leng
     reach = F.element_at("c", -1).cast("double") - F.element_at("c", 1).cast("double") if whole else F.lit(None).cast("double")
     filled = lists.where(F.size("c") > 0)
     pairs, span, without = filled.agg(F.coalesce(F.sum((n * (n + 1) / 2).cast("bigint")), F.lit(0)), F.max(reach), F.max("without")).first()
-    totals = small_or_not(written(filled.select(*keys, F.explode("c").alias("s"), "w").groupBy(*keys, "s").agg(F.sum("w").alias("t"))))
+    each = filled.select(*keys, "w", n.alias("n"), F.posexplode("c").alias("i", "s"))
+    sums = written(each.groupBy(*keys, "s").agg(F.sum("w").alias("t"), F.sum(F.col("n") - F.col("i")).alias("p")))
+    totals = small_or_not(sums)
     total = lambda side: totals.select(*keys, F.col("s").alias(side), F.col("t").alias(f"t{side}"))
     far = lambda side: F.lit(1.0) - F.col("ab").cast("double") / F.col(f"t{side}").cast("double")
-    both = _shared(filled, keys, int(pairs), span).join(total("a"), [*keys, "a"]).join(total("b"), [*keys, "b"]).select(*keys, "a", "b", far("a").alias("dist"), far("b").alias("back"))
+    both = _shared(filled, sums, keys, int(pairs), span).join(total("a"), [*keys, "a"]).join(total("b"), [*keys, "b"]).select(*keys, "a", "b", far("a").alias("dist"), far("b").alias("back"))
     there, twin = F.struct("a", "b", "dist", "back"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("dist"), F.col("dist").alias("back"))
     out = both.select(*keys, F.explode(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, twin))).alias("p")).select(*keys, "p.*")
     if without:  # rows without a sequence are a sequence that others are compared with, and itself has no distance
